@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from feedworks import contracts
 from feedworks.functions.dates import file_date
+from feedworks.functions.once import computed_once
 
 AS_OF = dt.date(2002, 1, 1)
 FIRST_RUN = dt.datetime(2002, 1, 1, 1, 0)
@@ -110,7 +111,10 @@ def member_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redemption_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One nested feed per line item, with none, one or two transactions."""
+    """One nested feed per line item, with none, one or two transactions.
+
+    Feeds are dated to the end of the order's month.
+    """
     items = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("k"),
         F.col("l_linenumber").alias("line"),
@@ -177,9 +181,9 @@ def redemption_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
         _pick(
             k,
             [(79, "20241301"), (83, nothing), (89, "20990101")],
-            _day(F.col("ordered")),
+            _day(F.last_day("ordered")),
         ).alias("feed_date"),
-        transactions.alias("redemptions"),
+        computed_once(transactions).alias("redemptions"),
         F.when(k % 101 == 0, "{unreadable").alias("_corrupt_record"),
         path.alias("source_path"),
         F.lit(FIRST_RUN).alias("ingestion_time"),

@@ -179,7 +179,7 @@ feeds AS (
     CASE WHEN k%71=0 THEN '' WHEN k%73=0 THEN 'A' || c ELSE c END AS member_id,
     CASE WHEN k%79=0 THEN '20241301' WHEN k%83=0 THEN NULL
          WHEN k%89=0 THEN '20990101'
-         ELSE strftime(ordered, '%Y%m%d') END AS feed_date_raw,
+         ELSE strftime(last_day(ordered), '%Y%m%d') END AS feed_date_raw,
     CASE WHEN k%97=0 THEN NULL WHEN h%29=0 THEN 0 WHEN h%113=0 THEN 2
          WHEN h%3=0 THEN 2 ELSE 1 END AS held_transactions,
     CASE WHEN k%101=0 THEN '{unreadable' END AS corrupt

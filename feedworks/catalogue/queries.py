@@ -24,8 +24,8 @@ from feedworks.plans.layout import Layout
 from feedworks.plans.member_rules import line_rules, member_rules
 from feedworks.plans.profile import BRIEF_ATTRIBUTES, member_redemption_profile
 from feedworks.plans.redemption_rules import feed_rules, transaction_rules
-from feedworks.sinks.exports import export_view, segment_path, write_csv
-from feedworks.sinks.layers import Layer, write_counted
+from feedworks.sinks.exports import export_view, write_csv
+from feedworks.sinks.layers import Layer
 from feedworks.sinks.targets import Target, write_partitioned
 from feedworks.sources.files import not_processed
 from feedworks.sources.storage import scratch_path

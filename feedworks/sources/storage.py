@@ -22,10 +22,19 @@ def is_complete(spark: SparkSession, path: str) -> bool:
 
 
 def delete(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder; nothing there is fine."""
     fs, target = _resolve(spark, path)
     fs.delete(target, True)
 
 
+def delete_source(spark: SparkSession, source_path: str) -> None:
+    """Remove a file by the encoded name that scans report for it."""
+    decoded = spark._jvm.org.apache.hadoop.fs.Path(
+        spark._jvm.java.net.URI(source_path)
+    )
+    delete(spark, decoded.toString())
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the folder all executors share.
 
