@@ -6,10 +6,11 @@ from pyspark.sql import SparkSession
 
 from feedworks.plans.layout import Layout
 from feedworks.sinks.layers import BATCH
+from feedworks.sources.storage import exists
 
 
-def table_statements(layout: Layout) -> dict[str, str]:
-    """``CREATE TABLE`` text by table name. Layers are partitioned by batch."""
+def _stored(layout: Layout) -> dict[str, tuple[str, str, str, str]]:
+    """Columns, format, partition column and path by table name."""
     layers = {
         "member_file_control": layout.member_ledger,
         "member_profile_raw": layout.member_raw,
@@ -22,29 +23,33 @@ def table_statements(layout: Layout) -> dict[str, str]:
         "member_profile_target": layout.member_target,
         "redemption_transactions": layout.redemption_target,
     }
-    statements = {
-        name: _create(
-            name, f"{layer.columns}, {BATCH} STRING", layer.fmt, BATCH, layer.path
-        )
+    stored = {
+        name: (f"{layer.columns}, {BATCH} STRING", layer.fmt, BATCH, layer.path)
         for name, layer in layers.items()
     }
     for name, target in targets.items():
-        statements[name] = _create(
-            name, target.columns, target.fmt, target.partition_by, target.data_path
+        stored[name] = (
+            target.columns, target.fmt, target.partition_by, target.data_path
         )
-    return statements
+    return stored
 
 
-def _create(name: str, columns: str, fmt: str, partition: str, path: str) -> str:
-    return (
-        f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING {fmt} "
-        f"PARTITIONED BY ({partition}) LOCATION '{path}'"
-    )
+def table_statements(layout: Layout) -> dict[str, str]:
+    """``CREATE TABLE`` text by table name. Layers are partitioned by batch."""
+    return {
+        name: (
+            f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING {fmt} "
+            f"PARTITIONED BY ({partition}) LOCATION '{path}'"
+        )
+        for name, (columns, fmt, partition, path) in _stored(layout).items()
+    }
 
 
 def create_tables(spark: SparkSession, layout: Layout) -> None:
-    """Create what is missing and pick up partitions written since."""
+    """Create what is missing and match the partitions to what is stored."""
+    stored = _stored(layout)
     for name, statement in table_statements(layout).items():
         spark.sql(statement)
-        spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
-        spark.sql(f"REFRESH TABLE {name}")
+        if exists(spark, stored[name][-1]):
+            spark.sql(f"MSCK REPAIR TABLE {name} SYNC PARTITIONS")
+            spark.sql(f"REFRESH TABLE {name}")

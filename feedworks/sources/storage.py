@@ -15,10 +15,14 @@ def _resolve(spark: SparkSession, path: str):
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, target = _resolve(spark, path)
+    return fs.exists(target)
+
+
 def is_complete(spark: SparkSession, path: str) -> bool:
     """Whether a Spark write to ``path`` was committed."""
-    fs, marker = _resolve(spark, f"{path}/_SUCCESS")
-    return fs.exists(marker)
+    return exists(spark, f"{path}/_SUCCESS")
 
 
 def delete(spark: SparkSession, path: str) -> None:

@@ -1,0 +1,308 @@
+"""Whole runs over files, with results worked out by hand."""
+
+import datetime as dt
+from collections import Counter
+
+import pytest
+import sample_feeds as samples
+
+from feedworks import contracts
+from feedworks.plans.ingest import ingest_members, ingest_redemptions
+from feedworks.plans.layout import Layout
+from feedworks.plans.profile import member_redemption_profile
+from feedworks.plans.reports import quality_reports
+from feedworks.plans.segments import register_country_tables, write_country_files
+from feedworks.sources.tables import read_table
+from feedworks.streaming.available_now import stream_members, stream_redemptions
+
+AS_OF = dt.date(2024, 2, 10)
+NAMES = list(samples.MEMBERS)
+
+
+def run_at(hour):
+    return dt.datetime(2024, 2, 10, hour)
+
+
+def ids(df, *columns):
+    return sorted(tuple(row[c] for c in columns) for row in df.collect())
+
+
+EXPECTED_MEMBERS = [
+    ("200000000001", "USA", "PLT", 39, False),
+    ("200000000002", "IND", "GLD", 33, False),
+    ("200000000003", "AUS", "PLT", 48, False),
+    ("200000000004", "USA", "SLV", 31, False),
+    ("200000000005", "IND", "SLV", 24, False),
+    ("200000000008", "USA", "SLV", 24, False),
+]
+MEMBER_COLUMNS = ("mem_id", "country_code", "tier", "age", "stale_member")
+
+
+@pytest.fixture
+def members_done(spark, root):
+    """All member files in one run, in a folder with a space."""
+    layout = Layout(f"{root}/out put")
+    samples.write_members(f"{root}/in", *NAMES)
+    report = ingest_members(spark, f"{root}/in", layout, AS_OF, run_at(1))
+    return layout, report
+
+
+def test_members_in_one_run(spark, root, members_done):
+    layout, report = members_done
+    assert ids(layout.member_target.read(spark), *MEMBER_COLUMNS) == EXPECTED_MEMBERS
+    lines = sum(len(content) for content in samples.MEMBERS.values())
+    assert layout.member_raw.read(spark).count() == lines
+    assert (report.files, report.accepted, report.rejected) == (4, 10, 7)
+    rejected = [
+        (row.raw_record[:12], tuple(row.validation_errors))
+        for row in layout.member_quarantine.read(spark).collect()
+    ]
+    assert Counter(rejected) == Counter(
+        [
+            ("", ("INVALID_RECORD_TYPE",)),
+            ("|H|Some|Othe", ("INVALID_MEMBER_HEADER",)),
+            ("|D|Too Many|", ("INVALID_MEMBER_FIELD_COUNT",)),
+            ("|T|4", ("INVALID_RECORD_TYPE",)),
+            (
+                "|D|Bad Day|2",
+                (
+                    "INVALID_ENROLLMENT_DATE", "MISSING_ENROLLMENT_DATE",
+                    "UNSUPPORTED_COUNTRY_CODE", "INVALID_ACTIVE_MEMBER_FLAG",
+                ),
+            ),
+            # A detail line of an undated file is reported as line and as row.
+            ("|D|No Date|2", ("INVALID_SOURCE_FILE_DATE",)),
+            ("|D|No Date|2", ("INVALID_SOURCE_FILE_DATE",)),
+        ]
+    )
+    staged = layout.member_staging.read(spark)
+    stale = {r.mem_id for r in staged.filter("stale_member").collect()}
+    assert stale == {"200000000002"}
+    assert staged.columns == [*contracts.column_names(contracts.MEMBER_STAGING), "batch_id"]
+
+
+def test_members_day_by_day_and_again(spark, root):
+    layout = Layout(f"{root}/out")
+    for hour, name in enumerate(NAMES):
+        samples.write_members(f"{root}/in", name)
+        report = ingest_members(spark, f"{root}/in", layout, AS_OF, run_at(hour))
+        assert report.files == 1
+    assert ids(layout.member_target.read(spark), *MEMBER_COLUMNS) == EXPECTED_MEMBERS
+    # Nothing new; a known path with other content is not new either.
+    samples.write_members(f"{root}/in", *NAMES)
+    with open(f"{root}/in/{NAMES[0]}", "a") as file:
+        file.write("|D|X|1|20240101||SLV|A|DL|IND|19991231|A\n")
+    assert ingest_members(spark, f"{root}/in", layout, AS_OF, run_at(9)) is None
+    assert layout.member_ledger.read(spark).count() == 4
+
+
+def test_a_late_old_file_overwrites_nothing(spark, root):
+    layout = Layout(f"{root}/out")
+    for hour, name in enumerate([NAMES[2], NAMES[1], NAMES[0]]):
+        samples.write_members(f"{root}/in", name)
+        ingest_members(spark, f"{root}/in", layout, AS_OF, run_at(hour))
+    assert ids(layout.member_target.read(spark), *MEMBER_COLUMNS) == EXPECTED_MEMBERS
+
+
+def test_a_run_without_valid_rows_is_still_recorded(spark, root):
+    layout = Layout(f"{root}/out")
+    samples.write_members(f"{root}/in", NAMES[3])
+    report = ingest_members(spark, f"{root}/in", layout, AS_OF, run_at(1))
+    assert (report.accepted, report.rejected) == (0, 2)
+    assert not layout.member_target.exists(spark)
+    assert ingest_members(spark, f"{root}/in", layout, AS_OF, run_at(2)) is None
+
+
+def test_a_failed_run_can_be_repeated(spark, root, monkeypatch):
+    layout = Layout(f"{root}/out")
+    samples.write_members(f"{root}/in", *NAMES)
+    with monkeypatch.context() as patch:
+        patch.setattr("feedworks.plans.segments.write_country_tables", None)
+        with pytest.raises(TypeError):
+            ingest_members(spark, f"{root}/in", layout, AS_OF, run_at(1))
+    report = ingest_members(spark, f"{root}/in", layout, AS_OF, run_at(2))
+    assert report.files == 4
+    assert layout.member_staging.read(spark).count() == 10
+    assert layout.member_quarantine.read(spark).count() == 7
+    assert ids(layout.member_target.read(spark), *MEMBER_COLUMNS) == EXPECTED_MEMBERS
+
+
+def test_country_tables_and_files(spark, root, members_done):
+    layout, _ = members_done
+    register_country_tables(spark, layout.segments)
+    counts = {
+        name: spark.table(f"member_profile_{name}").count()
+        for name in ("usa", "india", "australia", "philippines")
+    }
+    assert counts == {"usa": 3, "india": 2, "australia": 1, "philippines": 0}
+    usa = spark.table("member_profile_usa")
+    assert usa.columns == contracts.column_names(contracts.COUNTRY_TABLE)
+    assert {r.country_code for r in usa.collect()} == {"USA"}
+    members = layout.member_target.read(spark)
+    assert write_country_files(members, layout.exports) == ["philippines"]
+
+    def text(name):
+        lines = spark.read.text(f"{layout.exports}/member_profile_{name}.csv")
+        return sorted({row.value for row in lines.collect()})
+
+    assert text("usa") == [
+        '200000000001,Nora Quist,PLT,3102019',
+        '200000000004,Lito Cruz,SLV,1152021',
+        '200000000008,"Eve ""Q"", Jr",SLV,2032024',
+        'ID,Name,TierCode,EnrollmentDate',
+    ]
+    assert text("india") == [
+        '200000000002,Tomas Vale,7/04/1990,GLD,6122020,,2012024',
+        '200000000005,Dina Rao,12/31/1999,SLV,2022024,,',
+        'ID,Name,DOB,TierCode,EnrollmentDate,Individual or Corporate,Flight Date',
+    ]
+    assert text("australia") == [
+        '200000000003,Ruth Okello,PLT,1975-06-15,2018-09-01,2024-01-10',
+        'Unique ID,Member Name,Tier Type,Date of Birth,Date of Enrollment,Date of Flight',
+    ]
+    for name in counts:
+        spark.sql(f"DROP TABLE member_profile_{name}")
+
+
+EXPECTED_TRANSACTIONS = [
+    ("200000000001", "A1", "COMPLETED", 900, dt.date(2024, 2, 2)),
+    ("200000000001", "A2", "COMPLETED", 1000, dt.date(2024, 2, 1)),
+    ("200000000002", "B2", "PENDING", 5, dt.date(2024, 2, 2)),
+    ("200000000004", "F1", "PENDING", 1000, dt.date(2024, 2, 2)),
+    ("200000000005", "G1", "PENDING", 1000, dt.date(2024, 2, 2)),
+    ("200000000005", "G2", "PENDING", 1000, dt.date(2024, 2, 2)),
+    ("200000000099", "Z1", "PENDING", 1000, dt.date(2024, 2, 2)),
+]
+TRANSACTION_COLUMNS = ("member_id", "txn_id", "status", "miles_redeemed", "feed_date")
+
+
+def test_redemptions_and_profile(spark, root, members_done):
+    layout, _ = members_done
+    samples.write_feeds(
+        f"{root}/feeds", {**samples.FEEDS, "feed_truncated.json": samples.TRUNCATED}
+    )
+    report = ingest_redemptions(spark, f"{root}/feeds", layout, AS_OF, run_at(1))
+    assert (report.files, report.accepted) == (11, 7)
+    transactions = layout.redemption_target.read(spark)
+    assert ids(transactions, *TRANSACTION_COLUMNS) == EXPECTED_TRANSACTIONS
+
+    rejected = Counter(
+        (
+            row.source_path.rsplit("/", 1)[1].removesuffix(".json"),
+            row.txn_id,
+            tuple(row.validation_errors),
+        )
+        for row in layout.redemption_quarantine.read(spark).collect()
+    )
+    assert rejected == Counter(
+        [
+            ("feed_wrong_type", None, ("INVALID_REDEMPTION_JSON",)),
+            ("feed_wrong_type", "B1", ("MISSING_MILES_REDEEMED",)),
+            ("feed_bad_member", None, ("INVALID_MEMBER_ID",)),
+            ("feed_bad_member", "C1", ("INVALID_MEMBER_ID",)),
+            (
+                "feed_bad_member", "C2",
+                (
+                    "INVALID_MEMBER_ID", "TRANSACTION_AFTER_FEED_DATE",
+                    "NEGATIVE_MILES_REDEEMED", "INVALID_REDEMPTION_STATUS",
+                ),
+            ),
+            ("feed_padded_date", None, ("INVALID_FEED_DATE",)),
+            ("feed_padded_date", "D1", ("INVALID_FEED_DATE", "MISSING_FEED_DATE")),
+            (
+                "feed_object", None,
+                ("INVALID_REDEMPTION_JSON", "MISSING_REDEMPTIONS_ARRAY"),
+            ),
+            (
+                "feed_truncated", None,
+                (
+                    "INVALID_REDEMPTION_JSON", "MISSING_MEMBER_ID",
+                    "MISSING_FEED_DATE", "MISSING_REDEMPTIONS_ARRAY",
+                ),
+            ),
+        ]
+    )
+    assert report.rejected == sum(rejected.values())
+
+    profile = member_redemption_profile(
+        transactions, layout.member_target.read(spark)
+    )
+    assert len(profile.columns) == 18
+    names = ids(profile, "txn_id", "name")
+    assert names[0] == ("A1", "Nora Quist") and names[-1] == ("Z1", None)
+    assert len(names) == 7
+
+    reports = quality_reports(spark, layout)
+    assert reports["duplicate_members"].isEmpty()
+    assert reports["duplicate_transactions"].isEmpty()
+    worst = reports["member_errors"].first()
+    assert worst.invalid_row_count == 2
+    assert reports["redemption_errors"].first().invalid_row_count >= 1
+
+
+def test_redemptions_file_by_file_with_a_late_pending(spark, root):
+    layout = Layout(f"{root}/out")
+    late = samples.feed(
+        "200000000001", "20240209", samples.transaction("A1", "20240130", "PENDING", 1)
+    )
+    for hour, (name, content) in enumerate(
+        [
+            ("feed_1.json", samples.FEEDS["feed_1.json"]),
+            ("feed_2.json", samples.FEEDS["feed_2.json"]),
+            ("late.json", late),
+        ]
+    ):
+        samples.write_feeds(f"{root}/feeds", {name: content})
+        ingest_redemptions(spark, f"{root}/feeds", layout, AS_OF, run_at(hour))
+    assert (
+        ids(layout.redemption_target.read(spark), *TRANSACTION_COLUMNS)
+        == EXPECTED_TRANSACTIONS[:2]
+    )
+    assert ingest_redemptions(spark, f"{root}/feeds", layout, AS_OF, run_at(9)) is None
+
+
+def test_only_the_first_document_of_a_file_is_read(spark, root):
+    """A file is one document; a second one behind it is not seen."""
+    layout = Layout(f"{root}/out")
+    import json
+
+    two = "\n".join(
+        json.dumps(samples.feed("1", "20240201", samples.transaction(t, "20240201", "PENDING")))
+        for t in ("P", "Q")
+    )
+    samples.write_feeds(f"{root}/feeds", {"two.json": two, "empty.json": ""})
+    report = ingest_redemptions(spark, f"{root}/feeds", layout, AS_OF, run_at(1))
+    assert (report.files, report.accepted, report.rejected) == (1, 1, 0)
+
+
+def test_streams_give_the_same_tables(spark, root):
+    layout = Layout(f"{root}/out")
+    for hour, name in enumerate(NAMES):
+        samples.write_members(f"{root}/in", name)
+        stream_members(
+            spark, f"{root}/in", layout, f"{root}/checkpoints/members", AS_OF,
+            run_at(hour), max_files=1,
+        ).awaitTermination()
+    assert ids(layout.member_target.read(spark), *MEMBER_COLUMNS) == EXPECTED_MEMBERS
+    assert layout.member_staging.read(spark).count() == 10
+    samples.write_feeds(f"{root}/feeds", samples.FEEDS)
+    for _ in range(2):
+        stream_redemptions(
+            spark, f"{root}/feeds", layout, f"{root}/checkpoints/feeds", AS_OF,
+            run_at(1), max_files=6,
+        ).awaitTermination()
+    assert (
+        ids(layout.redemption_target.read(spark), *TRANSACTION_COLUMNS)
+        == EXPECTED_TRANSACTIONS
+    )
+
+
+def test_layers_have_the_agreed_columns(spark, members_done):
+    layout, _ = members_done
+    for layer in (layout.member_raw, layout.member_quarantine, layout.member_ledger):
+        stored = spark.read.parquet(layer.path).drop("batch_id").columns
+        assert sorted(stored) == sorted(contracts.column_names(layer.columns))
+    target = read_table(
+        spark, layout.member_target.data_path, contracts.MEMBER_TARGET
+    )
+    assert target.filter("ingestion_time IS NULL").isEmpty()
