@@ -42,11 +42,11 @@ def delete_source(spark: SparkSession, source_path: str) -> None:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the folder all executors share.
 
-    A session without a checkpoint folder is a local one, as in tests; only
-    then is a folder of this machine used.
+    Only a local session may do without such a folder.
     """
     root = spark.conf.get(_CHECKPOINT_DIR, None)
     if not root:
-        root = tempfile.mkdtemp(prefix="feedworks-")
-        spark.conf.set(_CHECKPOINT_DIR, root)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {_CHECKPOINT_DIR} to a shared folder")
+        root = tempfile.gettempdir()
     return f"{root}/feedworks/{label}-{uuid.uuid4().hex}"
