@@ -26,6 +26,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a table stored in fewer blocks than there are cores.
+
+    Only such small tables pay the exchange; a table of many files stays as its
+    scan delivers it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _pick(key: Column, cases: list[tuple[int, object]], otherwise: Column) -> Column:
     """The value of the first modulus that divides ``key``, else ``otherwise``."""
     value = None
@@ -42,10 +52,12 @@ def _day(column: Column) -> Column:
 
 def member_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One raw line per order, in one file per order day."""
-    orders = table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("k"),
-        F.col("o_custkey").alias("c"),
-        F.to_date("o_orderdate").alias("ordered"),
+    orders = spread(
+        table(spark, sf_dir, "orders").select(
+            F.col("o_orderkey").alias("k"),
+            F.col("o_custkey").alias("c"),
+            F.to_date("o_orderdate").alias("ordered"),
+        )
     )
     customers = table(spark, sf_dir, "customer").select(
         "c_custkey", "c_name", "c_nationkey", "c_mktsegment"
@@ -115,14 +127,16 @@ def redemption_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Feeds are dated to the end of the order's month.
     """
-    items = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("k"),
-        F.col("l_linenumber").alias("line"),
-        F.col("l_partkey").alias("part"),
-        F.col("l_suppkey").alias("supplier"),
-        F.col("l_quantity").alias("quantity"),
-        F.col("l_linestatus").alias("linestatus"),
-        F.to_date("l_shipdate").alias("shipped"),
+    items = spread(
+        table(spark, sf_dir, "lineitem").select(
+            F.col("l_orderkey").alias("k"),
+            F.col("l_linenumber").alias("line"),
+            F.col("l_partkey").alias("part"),
+            F.col("l_suppkey").alias("supplier"),
+            F.col("l_quantity").alias("quantity"),
+            F.col("l_linestatus").alias("linestatus"),
+            F.to_date("l_shipdate").alias("shipped"),
+        )
     )
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey",
