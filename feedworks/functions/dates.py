@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,6 +14,13 @@ from pyspark.sql import functions as F
 from feedworks import contracts
 
 
+_SHAPES = {
+    "yyyy": "(?!0000)[0-9]{4}",
+    "MM": "(0[1-9]|1[0-2])",
+    "dd": "(0[1-9]|[12][0-9]|3[01])",
+}
+
+
 def parse_date(column: Column, *formats: str) -> Column:
     """First format that fits, else NULL; bad text never fails the job."""
     attempts = [_attempt(column, fmt) for fmt in formats]
@@ -20,21 +28,29 @@ def parse_date(column: Column, *formats: str) -> Column:
 
 
 def _attempt(column: Column, fmt: str) -> Column:
-    """A failed parse costs Spark an exception, many times the price of a good
-    one. Text as long as the format whose month cannot be one is therefore not
-    tried: that is what a date written in another format mostly looks like."""
-    parsed = F.try_to_date(column, fmt)
-    if "MM" not in fmt:
-        return parsed
-    month = F.substring(column, fmt.index("MM") + 1, 2)
-    hopeless = (F.length(column) == len(fmt)) & ~month.between("01", "12")
-    return F.when(~hopeless, parsed)
+    """The result of ``try_to_date``, at a lower price for all-digit formats.
+
+    A formatter is costly, and most of all when it fails: Spark then handles an
+    exception per row. Text of the right digits is therefore cut up and cast,
+    digits that cannot be a date in this format are not tried, and only other
+    text is left to the formatter.
+    """
+    general = F.try_to_date(column, fmt)
+    if sorted(re.findall("yyyy|MM|dd|.", fmt)) != sorted(_SHAPES):
+        return general
+    shape = re.sub("yyyy|MM|dd", lambda part: _SHAPES[part.group()], fmt)
+    parts = [
+        F.substring(column, fmt.index(part) + 1, len(part)) for part in _SHAPES
+    ]
+    return F.when(
+        column.rlike(f"^{shape}\\z"), F.concat_ws("-", *parts).try_cast("date")
+    ).when(~column.rlike(r"^[0-9]{8}\z"), general)
 
 
 def file_date(path: Column) -> Column:
     """Business date from the text after the last ``_`` of a file's stem."""
     suffix = F.regexp_extract(path, r"([^_/]*)[.][^./]*$", 1)
-    return parse_date(suffix, contracts.FEED_DATE_FORMAT)
+    return F.try_to_date(suffix, contracts.FEED_DATE_FORMAT)
 
 
 def unreadable_date(raw: Column, parsed: Column) -> Column:
