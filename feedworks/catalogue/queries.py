@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -327,19 +328,21 @@ def routed_counts(spark, sf_dir):
     lines = derived.member_lines(spark, sf_dir)
     dated = redemptions.date_feeds(derived.redemption_feeds(spark, sf_dir))
     checks = {
-        "line": members.check_lines(lines),
-        "member": members.check_members(lines, AS_OF),
-        "feed": redemptions.check_feeds(dated, AS_OF),
-        "transaction": redemptions.check_transactions(dated, AS_OF),
+        "line": (split_record(lines), line_rules()),
+        "member": (members.decode_members(lines), member_rules(AS_OF)),
+        "feed": (dated, feed_rules(AS_OF)),
+        "transaction": (
+            redemptions.flatten_feeds(dated), transaction_rules(AS_OF)
+        ),
     }
-    counts = None
-    for level, routed in checks.items():
-        for way, rows in (("valid", routed.valid), ("invalid", routed.invalid)):
-            count = rows.agg(F.count(F.lit(1)).alias("row_count")).select(
-                F.lit(level).alias("level"), F.lit(way).alias("way"), "row_count"
-            )
-            counts = count if counts is None else counts.unionByName(count)
-    return counts
+    way = F.when(F.size(ERRORS) == 0, "valid").otherwise("invalid").alias("way")
+    counts = [
+        with_errors(rows, rules)
+        .groupBy(F.lit(level).alias("level"), way)
+        .agg(F.count(F.lit(1)).alias("row_count"))
+        for level, (rows, rules) in checks.items()
+    ]
+    return reduce(DataFrame.unionByName, counts)
 
 
 @query
