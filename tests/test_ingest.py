@@ -1,6 +1,7 @@
 """Whole runs over files, with results worked out by hand."""
 
 import datetime as dt
+import json
 from collections import Counter
 
 import pytest
@@ -264,8 +265,6 @@ def test_redemptions_file_by_file_with_a_late_pending(spark, root):
 def test_only_the_first_document_of_a_file_is_read(spark, root):
     """A file is one document; a second one behind it is not seen."""
     layout = Layout(f"{root}/out")
-    import json
-
     two = "\n".join(
         json.dumps(samples.feed("1", "20240201", samples.transaction(t, "20240201", "PENDING")))
         for t in ("P", "Q")
