@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from feedworks.llm.langid import op1_language_id
+from feedworks.llm.mixing import op9_source_mixing
 
 QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id,
+        op9_source_mixing,
     )
 }
 ORACLE: dict[str, str] = {}
