@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from feedworks.llm.langid import op1_language_id
 from feedworks.llm.mixing import op9_source_mixing
+from feedworks.llm.neardup import op10_simhash_near_dedup
 
 QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id,
         op9_source_mixing,
+        op10_simhash_near_dedup,
     )
 }
 ORACLE: dict[str, str] = {}
