@@ -5,11 +5,13 @@ from __future__ import annotations
 from feedworks.llm.langid import op1_language_id
 from feedworks.llm.mixing import op9_source_mixing
 from feedworks.llm.neardup import op10_simhash_near_dedup
+from feedworks.llm.pivots import op5_embedding_near_dedup
 
 QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id,
+        op5_embedding_near_dedup,
         op9_source_mixing,
         op10_simhash_near_dedup,
     )
