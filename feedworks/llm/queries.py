@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from feedworks.llm.bpe import op6_byte_bpe
 from feedworks.llm.langid import op1_language_id
 from feedworks.llm.mixing import op9_source_mixing
 from feedworks.llm.neardup import op10_simhash_near_dedup
@@ -12,6 +13,7 @@ QUERIES = {
     for f in (
         op1_language_id,
         op5_embedding_near_dedup,
+        op6_byte_bpe,
         op9_source_mixing,
         op10_simhash_near_dedup,
     )
