@@ -7,11 +7,13 @@ from feedworks.llm.langid import op1_language_id
 from feedworks.llm.mixing import op9_source_mixing
 from feedworks.llm.neardup import op10_simhash_near_dedup
 from feedworks.llm.pivots import op5_embedding_near_dedup
+from feedworks.llm.quality import op4_quality_resampling
 
 QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id,
+        op4_quality_resampling,
         op5_embedding_near_dedup,
         op6_byte_bpe,
         op9_source_mixing,
