@@ -8,6 +8,7 @@ from feedworks.llm.mixing import op9_source_mixing
 from feedworks.llm.neardup import op10_simhash_near_dedup
 from feedworks.llm.pivots import op5_embedding_near_dedup
 from feedworks.llm.quality import op4_quality_resampling
+from feedworks.llm.simhash import op7_simhash_fingerprints
 
 QUERIES = {
     f.__name__: f
@@ -16,6 +17,7 @@ QUERIES = {
         op4_quality_resampling,
         op5_embedding_near_dedup,
         op6_byte_bpe,
+        op7_simhash_fingerprints,
         op9_source_mixing,
         op10_simhash_near_dedup,
     )
