@@ -167,7 +167,8 @@ def pieces(placed: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 
 def mix(placed: DataFrame, targets: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The mix: for each slot, the pieces of texts in its block."""
-    slots = draw_slots(targets, seed, block_words)
+    # Slots are made from a few rows of targets, which Spark takes for their size.
+    slots = draw_slots(targets, seed, block_words).hint("merge")
     return slots.join(pieces(placed, block_words), ["sid", "block"])
 
 
@@ -205,7 +206,7 @@ def mixed_texts(docs: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS)
         *[c for c in names if c not in ("text", "n_chars")],
         F.explode(F.transform(_blocks_of("start", "size", block_words), piece)).alias("piece"),
     )
-    mixed = draw_slots(targets, seed, block_words).join(
+    mixed = draw_slots(targets, seed, block_words).hint("merge").join(
         cut.withColumn("block", F.col("piece.block")), ["sid", "block"]
     )
     values = {"text": F.col("piece.text"), "n_chars": F.length("piece.text").cast("long")}
