@@ -8,6 +8,7 @@ from feedworks.llm.mixing import op9_source_mixing
 from feedworks.llm.neardup import op10_simhash_near_dedup
 from feedworks.llm.pivots import op5_embedding_near_dedup
 from feedworks.llm.quality import op4_quality_resampling
+from feedworks.llm.repeats import op8_suffix_dedup
 from feedworks.llm.simhash import op7_simhash_fingerprints
 
 QUERIES = {
@@ -18,6 +19,7 @@ QUERIES = {
         op5_embedding_near_dedup,
         op6_byte_bpe,
         op7_simhash_fingerprints,
+        op8_suffix_dedup,
         op9_source_mixing,
         op10_simhash_near_dedup,
     )
