@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from feedworks.llm.bpe import op6_byte_bpe
+from feedworks.llm.brown import op2_class_lm
 from feedworks.llm.langid import op1_language_id
 from feedworks.llm.mixing import op9_source_mixing
 from feedworks.llm.neardup import op10_simhash_near_dedup
@@ -15,6 +16,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id,
+        op2_class_lm,
         op4_quality_resampling,
         op5_embedding_near_dedup,
         op6_byte_bpe,
