@@ -11,12 +11,14 @@ from feedworks.llm.pivots import op5_embedding_near_dedup
 from feedworks.llm.quality import op4_quality_resampling
 from feedworks.llm.repeats import op8_suffix_dedup
 from feedworks.llm.simhash import op7_simhash_fingerprints
+from feedworks.llm.tokenfiles import op3_token_id_files
 
 QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id,
         op2_class_lm,
+        op3_token_id_files,
         op4_quality_resampling,
         op5_embedding_near_dedup,
         op6_byte_bpe,
