@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from feedworks.llm.shared import slices, stored, table
+from feedworks.llm.shared import slices, stored, table, value_at_rank
 
 BUCKETS = 1 << 16
 ORDER = 3
@@ -30,8 +30,6 @@ SMOOTHING = 1.0
 SCALE = 1.0
 SEED = 0
 CACHED = 1 << 18
-FINE = 4096
-BINS = 4096
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+|\n").findall
 # Shapes: 0-35 words, by case and length; from 64 on, punctuation.
@@ -186,31 +184,6 @@ def gumbel(seed: int, *key: str) -> Column:
     return -F.log(-F.log((bits + 0.5) / float(1 << 52)))
 
 
-def value_at_rank(values: DataFrame, k: int) -> float:
-    """The k-th largest of the double column ``v``: counts in ever finer bins
-    until few rows are left, so neither a sort nor a long list is needed."""
-    low, high = values.agg(F.min("v"), F.max("v")).first()
-    while True:
-        inside = values.filter((F.col("v") >= low) & (F.col("v") <= high))
-        width = (high - low) / BINS
-        if inside.limit(FINE + 1).count() <= FINE or not low + width > low:
-            rows = inside.groupBy("v").count().orderBy(F.desc("v")).limit(FINE + 1).collect()
-            for row in rows:
-                k -= row["count"]
-                if k <= 0:
-                    return row.v
-            return low
-        bin_of = F.least(F.floor((F.col("v") - low) / width), F.lit(BINS - 1))
-        bins = inside.groupBy(bin_of.alias("bin")).agg(
-            F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")
-        )
-        for row in sorted(bins.collect(), key=lambda r: -r.bin):
-            if k <= row.n:
-                low, high = row.low, row.high
-                break
-            k -= row.n
-
-
 def resample(scored: DataFrame, seed: int = SEED, scale: float = SCALE) -> DataFrame:
     """Add ``kept``: the top k of log weight plus Gumbel noise.
 

@@ -15,6 +15,10 @@ from feedworks.sources.storage import delete, scratch_path
 SPACES = r"\x20\x09-\x0D"
 WORD = f"[^{SPACES}]+"
 
+# Limits of value_at_rank: bins of a round, rows that may come to the driver.
+BINS = 4096
+FINE = 4096
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -65,3 +69,28 @@ def slices(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBa
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 of each text, NULL as empty."""
     return [value or b"" for value in column.cast(pa.binary()).to_pylist()]
+
+
+def value_at_rank(values: DataFrame, k: int) -> float:
+    """The k-th largest of the numbers ``v``: counts in ever finer bins
+    until few rows are left, so neither a sort nor a long list is needed."""
+    low, high = values.agg(F.min("v"), F.max("v")).first()
+    while True:
+        inside = values.filter((F.col("v") >= low) & (F.col("v") <= high))
+        width = (high - low) / BINS
+        if inside.limit(FINE + 1).count() <= FINE or not low + width > low:
+            rows = inside.groupBy("v").count().orderBy(F.desc("v")).limit(FINE + 1).collect()
+            for row in rows:
+                k -= row["count"]
+                if k <= 0:
+                    return row.v
+            return low
+        bin_of = F.least(F.floor((F.col("v") - low) / width), F.lit(BINS - 1))
+        bins = inside.groupBy(bin_of.alias("bin")).agg(
+            F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")
+        )
+        for row in sorted(bins.collect(), key=lambda r: -r.bin):
+            if k <= row.n:
+                low, high = row.low, row.high
+                break
+            k -= row.n
