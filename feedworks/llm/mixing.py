@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feedworks.functions.once import computed_once
-from feedworks.llm.shared import SPACES, WORD, stored, table, whole_text
+from feedworks.llm.shared import SPACES, WORD, restored, set_aside, stored, table, whole_text
 
 BLOCK_WORDS = 128
 MAX_REPEATS = 3
@@ -180,6 +180,7 @@ def mixed_texts(docs: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS)
     piece's length where ``docs`` has that column. Texts without words are not
     taken; other columns are kept.
     """
+    docs, own = set_aside(docs, "doc_id", "text", "source", "n_chars")
     names = docs.columns
     counted = docs.withColumns(
         {
@@ -210,7 +211,7 @@ def mixed_texts(docs: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS)
         cut.withColumn("block", F.col("piece.block")), ["sid", "block"]
     )
     values = {"text": F.col("piece.text"), "n_chars": F.length("piece.text").cast("long")}
-    return mixed.select(*[values.get(c, F.col(c)).alias(c) for c in names])
+    return restored(mixed.select(*[values.get(c, F.col(c)).alias(c) for c in names]), own)
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from feedworks.llm.shared import slices, stored, table, value_at_rank
+from feedworks.llm.shared import (
+    restored,
+    set_aside,
+    slices,
+    stored,
+    table,
+    value_at_rank,
+)
 
 BUCKETS = 1 << 16
 ORDER = 3
@@ -203,11 +210,13 @@ def resample(scored: DataFrame, seed: int = SEED, scale: float = SCALE) -> DataF
 
 
 def select_quality(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> DataFrame:
-    """``docs`` with ``quality``, ``log_weight``, ``n_grams`` and ``kept``."""
+    """The rows of ``docs`` that are kept, with the columns of ``docs``."""
+    docs, own = set_aside(docs, "doc_id", "text")
     sample = stored(labelled_sample(labels), "quality-sample")
     labelled = with_labels(docs, sample)
     weights = learn_weights(labelled)
-    return resample(stored(score(labelled, weights), "quality-scores"), seed)
+    chosen = resample(stored(score(labelled, weights), "quality-scores"), seed)
+    return restored(chosen.filter("kept"), own)
 
 
 def op4_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedworks.llm.shared import as_bytes, slices, stored, table, whole_text
+from feedworks.llm.shared import (
+    as_bytes,
+    restored,
+    set_aside,
+    slices,
+    stored,
+    table,
+    whole_text,
+)
 from feedworks.llm.suffixsort import deep_shallow_sort
 
 WINDOW = 400
@@ -323,6 +331,19 @@ def text_of(data: bytes | None) -> str:
     return (data or b"").decode("utf-8", "ignore")
 
 
+def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs`` with repeated passages taken out of ``text`` and ``n_chars``, if
+    there, to match. NULL texts stay NULL; texts of which nothing is left stay
+    as empty texts."""
+    docs, own = set_aside(docs, "text", "n_chars")
+    left = F.udf(text_of, "string")("kept")
+    text = F.when(F.col("text").isNull() | (F.size("removed") == 0), F.col("text")).otherwise(left)
+    done = remove_repeats(docs, window).withColumn("text", text)
+    if "n_chars" in own.values():
+        done = done.withColumn("n_chars", F.length("text").cast("long"))
+    return restored(done, own)
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes removed from every document, and what is left.
 

@@ -59,6 +59,18 @@ def lower_ascii(column: Column) -> Column:
     )
 
 
+def set_aside(docs: DataFrame, *used: str) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with all columns but ``used`` under names no operator uses, and
+    the names to give ``restored``."""
+    names = {c: c if c in used else f"__own_{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names
+
+
+def restored(docs: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns ``set_aside`` was given, in their order, and no others."""
+    return docs.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
 def slices(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """Cut batches to ``size`` rows, so a task's memory does not follow them."""
     for batch in batches:
