@@ -75,7 +75,7 @@ def stage_members(valid: DataFrame, as_of: dt.date) -> DataFrame:
 
 def latest_members(staged: DataFrame) -> DataFrame:
     """One row per member: latest file, then run, then path."""
-    order = newest_first([*member_recency(F.col), F.col("source_path")])
+    order = newest_first(member_recency(F.col))
     ranked = {"mem_id", "source_file_date", "ingestion_time", "source_path"}
     return latest_per_key(
         staged, contracts.MEMBER_KEY, order + settle_ties(staged, ranked)

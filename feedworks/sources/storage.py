@@ -20,9 +20,20 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
-def is_complete(spark: SparkSession, path: str) -> bool:
-    """Whether a Spark write to ``path`` was committed."""
-    return exists(spark, f"{path}/_SUCCESS")
+def mark(spark: SparkSession, path: str) -> None:
+    """Create an empty file, which readers of the folder do not see if its name
+    starts with an underscore."""
+    fs, target = _resolve(spark, path)
+    fs.create(target, True).close()
+
+
+def holds_files(spark: SparkSession, path: str) -> bool:
+    """Whether a folder has anything a reader of it would see."""
+    fs, target = _resolve(spark, path)
+    if not fs.exists(target):
+        return False
+    names = (status.getPath().getName() for status in fs.listStatus(target))
+    return any(name[0] not in "_." for name in names)
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -45,6 +56,8 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     Only a local session may do without such a folder.
     """
     root = spark.conf.get(_CHECKPOINT_DIR, None)
+    if not root and spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(f"set {_CHECKPOINT_DIR} to a shared folder")
