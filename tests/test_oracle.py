@@ -1,4 +1,4 @@
-"""Every registered query against its SQL twin."""
+"""Every registered query that has a SQL twin against it."""
 
 import pytest
 from check_oracle import compare, connect
@@ -13,7 +13,7 @@ def db():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(contract.oracle_sql()))
 def test_query_equals_oracle(spark, db, name):
     df = contract.queries()[name](spark, SF_DIR)
     assert compare(df, db, contract.oracle_sql()[name]) is None
