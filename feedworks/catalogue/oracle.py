@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 AS_OF = "DATE '2002-01-01'"
+# The header below and the error codes in the rules.
 HEADER = (
     "|H|Member_Name|Member_Id|Enrollment_Date|Last_Flight_Date|Tier_Code|"
     "Agent_Name|State|Country|DOB|Is_Active"

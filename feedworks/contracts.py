@@ -80,6 +80,8 @@ REDEMPTION_QUARANTINE = (
     "validation_time TIMESTAMP"
 )
 
+MANIFEST = "source_path STRING, path STRING"
+
 MEMBER_KEY = ("mem_id",)
 TRANSACTION_KEY = ("member_id", "txn_id")
 
@@ -98,6 +100,6 @@ def column_names(ddl: str) -> list[str]:
     """Column names of one of the DDL strings above, in order."""
     flat, depth = "", 0
     for char in ddl:
-        depth += (char == "<") - (char == ">")
+        depth += (char in "<(") - (char in ">)")
         flat += char if depth == 0 else ""
     return [column.split()[0] for column in flat.split(",")]

@@ -1,4 +1,7 @@
-"""Checks on member files: first on lines, then on decoded rows."""
+"""Checks on member files: first on lines, then on decoded rows.
+
+The codes and their order are fixed values.
+"""
 
 from __future__ import annotations
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -20,6 +21,19 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
+def matches(spark: SparkSession, pattern: str) -> bool:
+    """Whether a path, which may be a pattern, leads to anything."""
+    fs, target = _resolve(spark, pattern)
+    return bool(fs.globStatus(target))
+
+
+def listed_names(files: DataFrame) -> DataFrame:
+    """``source_path`` of all files behind a scan, empty ones too, which no scan
+    shows: the names are taken from the file index that the driver holds."""
+    names = [(re.sub("^file:///", "file:/", name),) for name in files.inputFiles()]
+    return files.sparkSession.createDataFrame(names, "source_path STRING")
+
+
 def mark(spark: SparkSession, path: str) -> None:
     """Create an empty file, which readers of the folder do not see if its name
     starts with an underscore."""

@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 from collections import Counter
+from pathlib import Path
 
 import pytest
 import sample_feeds as samples
@@ -262,16 +263,91 @@ def test_redemptions_file_by_file_with_a_late_pending(spark, root):
     assert ingest_redemptions(spark, f"{root}/feeds", layout, AS_OF, run_at(9)) is None
 
 
-def test_only_the_first_document_of_a_file_is_read(spark, root):
-    """A file is one document; a second one behind it is not seen."""
+def test_no_document_is_overlooked(spark, root):
+    """Whatever follows a file's first document marks the file."""
     layout = Layout(f"{root}/out")
-    two = "\n".join(
-        json.dumps(samples.feed("1", "20240201", samples.transaction(t, "20240201", "PENDING")))
-        for t in ("P", "Q")
-    )
-    samples.write_feeds(f"{root}/feeds", {"two.json": two, "empty.json": ""})
+
+    def one(number):
+        return json.dumps(
+            samples.feed("1", "20240201", samples.transaction(number, "20240201", "PENDING"))
+        )
+
+    texts = {
+        "lines": f"{one('A')}\n{one('B')}",
+        "comma": f"{one('C')},{one('D')}",
+        "junk": one("E") + "}",
+        "closed": one("F") + "] [1",
+        "braces": one("} {"),
+        "marked": "\ufeff" + one("G"),
+        "array": f"[{one('H')}, null, {one('I')}]",
+        "array_and_more": f"[{one('J')}] {one('K')}",
+        "part[1]_{a}*": one("L"),
+        "no_feeds": "[]",
+        "blank": " \n",
+        "empty": "",
+    }
+    samples.write_feeds(f"{root}/feeds", {f"{n}.json": t for n, t in texts.items()})
     report = ingest_redemptions(spark, f"{root}/feeds", layout, AS_OF, run_at(1))
-    assert (report.files, report.accepted, report.rejected) == (1, 1, 0)
+    assert report.files == len(texts)
+    taken = {row.txn_id for row in layout.redemption_target.read(spark).collect()}
+    assert taken == {"A", "C", "E", "F", "} {", "G", "H", "I", "L"}
+    rejected = layout.redemption_quarantine.read(spark).collect()
+    assert Counter(
+        row.source_path.rsplit("/", 1)[1].removesuffix(".json")
+        for row in rejected
+        if "INVALID_REDEMPTION_JSON" in row.validation_errors
+    ) == Counter(["lines", "comma", "junk", "closed", "array", "array_and_more"])
+    kept = {row._corrupt_record for row in rejected}
+    assert texts["lines"] in kept and texts["array_and_more"] in kept
+    assert layout.redemption_ledger.read(spark).count() == len(texts)
+    assert ingest_redemptions(spark, f"{root}/feeds", layout, AS_OF, run_at(2)) is None
+
+
+def test_names_are_no_patterns_and_folders_may_be_missing(spark, root):
+    layout = Layout(f"{root}/out")
+    assert ingest_members(spark, f"{root}/in", layout, AS_OF, run_at(1)) is None
+    samples.write_members(f"{root}/in", NAMES[0])
+    Path(f"{root}/in", NAMES[0]).rename(f"{root}/in/m[1]{{2}}?_20240201.txt")
+    Path(f"{root}/in/empty_20240202.txt").write_text("")
+    report = ingest_members(spark, f"{root}/in", layout, AS_OF, run_at(1))
+    assert (report.files, report.accepted) == (2, 4)
+    assert layout.member_ledger.read(spark).count() == 2
+    Path(f"{root}/in/other_20240202.txt").write_text("")
+    report = ingest_members(spark, f"{root}/in", layout, AS_OF, run_at(2))
+    assert (report.files, report.accepted, report.rejected) == (1, 0, 0)
+
+
+def test_a_failed_run_and_a_new_file(spark, root, monkeypatch):
+    layout = Layout(f"{root}/out")
+    samples.write_members(f"{root}/in", *NAMES[:2])
+    with monkeypatch.context() as patch:
+        patch.setattr("feedworks.plans.segments.write_country_tables", None)
+        with pytest.raises(TypeError):
+            ingest_members(spark, f"{root}/in", layout, AS_OF, run_at(1))
+    samples.write_members(f"{root}/in", *NAMES[2:])
+    report = ingest_members(spark, f"{root}/in", layout, AS_OF, run_at(2))
+    assert (report.files, report.accepted, report.rejected) == (4, 10, 7)
+    lines = sum(len(content) for content in samples.MEMBERS.values())
+    assert layout.member_raw.read(spark).count() == lines
+    assert layout.member_staging.read(spark).count() == 10
+    assert layout.member_quarantine.read(spark).count() == 7
+    assert ids(layout.member_target.read(spark), *MEMBER_COLUMNS) == EXPECTED_MEMBERS
+
+
+@pytest.mark.parametrize("max_files", [None, 1])
+def test_batch_sizes_do_not_change_the_winner(spark, root, max_files):
+    layout = Layout(f"{root}/out")
+    for name, tier in (("b", "OLD"), ("a", "NEW")):
+        line = f"|D|N|200000000001|20190310|20240105|{tier}|I|WA|USA|19840229|A"
+        Path(root, "in").mkdir(exist_ok=True)
+        Path(root, "in", f"{name}_20240201.txt").write_text(
+            f"{samples.MEMBER_HEADER}\n{line}\n"
+        )
+    stream_members(
+        spark, f"{root}/in", layout, f"{root}/checkpoint", AS_OF, run_at(1),
+        max_files=max_files,
+    ).awaitTermination()
+    assert ids(layout.member_target.read(spark), "tier") == [("OLD",)]
 
 
 def test_streams_give_the_same_tables(spark, root):
