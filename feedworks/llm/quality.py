@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedworks.llm.shared import (
@@ -90,21 +90,25 @@ class Features:
 
 
 def labelled_sample(labels: DataFrame) -> DataFrame:
-    """``label_id``, ``quality``: of each quality, at most LABELLED_ROWS rows, those
-    with the smallest hash of their doc_id. Contradicting or NULL labels teach
-    nothing."""
-    once = (
+    """``label_id``, ``quality``: of each quality, LABELLED_ROWS rows, those with
+    the smallest hash of their doc_id, and rows equal to the last of them; all if
+    there are fewer. Contradicting or NULL labels teach nothing."""
+    once = stored(
         labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)")
         .groupBy(F.col("doc_id").alias("label_id"))
         .agg(F.min("quality").alias("quality"), F.max("quality").alias("most"))
         .filter("quality = most")
+        .drop("most"),
+        "quality-labels",
     )
-    order = Window.partitionBy("quality").orderBy(F.xxhash64("label_id"), "label_id")
-    return (
-        once.withColumn("place", F.row_number().over(order))
-        .filter(F.col("place") <= LABELLED_ROWS)
-        .select("label_id", "quality")
-    )
+    rank = -F.xxhash64("label_id").cast("double")
+    taken = F.lit(True)
+    for row in once.groupBy("quality").count().collect():  # at most 2 rows
+        if row["count"] > LABELLED_ROWS:
+            known = once.filter(F.col("quality") == row.quality)
+            least = value_at_rank(known.select(rank.alias("v")), LABELLED_ROWS)
+            taken &= (F.col("quality") != row.quality) | (rank >= least)
+    return once.filter(taken)
 
 
 def with_labels(docs: DataFrame, sample: DataFrame) -> DataFrame:

@@ -166,6 +166,27 @@ def test_quality(spark, sf_dir, rows):
     assert all(r.log_weight == 0 for r in found if r.n_grams == 0)
 
 
+def test_labelled_sample(spark, monkeypatch):
+    from feedworks.llm import quality
+
+    monkeypatch.setattr(quality, "LABELLED_ROWS", 40)
+    rows = [(i, i % 3 == 0) for i in range(300)] + [(7, True), (None, True), (900, None)]
+    labels = spark.createDataFrame(rows, "doc_id LONG, good BOOLEAN").selectExpr(
+        "doc_id", "CAST(good AS INT) AS quality", "'x' AS label_id"
+    )
+    expected = set()
+    for wanted in (0, 1):
+        order = "SELECT DISTINCT doc_id FROM labels WHERE quality = {q} AND doc_id <> 7"
+        labels.createOrReplaceTempView("labels")
+        ranked = spark.sql(order.format(q=wanted)).selectExpr("doc_id", "xxhash64(doc_id) AS h")
+        expected |= {(r.doc_id, wanted) for r in ranked.orderBy("h").limit(40).collect()}
+    spark.catalog.dropTempView("labels")
+    sample = [tuple(r) for r in quality.labelled_sample(labels).collect()]
+    assert sorted(sample) == sorted(expected)
+    none = quality.labelled_sample(labels.filter("false"))
+    assert none.collect() == []
+
+
 def test_rank_and_cut(spark):
     from feedworks.llm.shared import value_at_rank
 
