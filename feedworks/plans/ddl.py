@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 
 from feedworks.plans.layout import Layout
 from feedworks.sinks.layers import BATCH
-from feedworks.sources.storage import exists
+from feedworks.sources.storage import exists, quoted
 
 
 def _stored(layout: Layout) -> dict[str, tuple[str, str, str, str]]:
@@ -39,7 +39,7 @@ def table_statements(layout: Layout) -> dict[str, str]:
     return {
         name: (
             f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING {fmt} "
-            f"PARTITIONED BY ({partition}) LOCATION '{path}'"
+            f"PARTITIONED BY ({partition}) LOCATION {quoted(path)}"
         )
         for name, (columns, fmt, partition, path) in _stored(layout).items()
     }

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedworks.sources.storage import quoted
+
 SEGMENT = "segment"
 
 
@@ -79,7 +81,7 @@ def register_segments(
     for segment in segments:
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {segment.table} ({columns}) "
-            f"USING parquet LOCATION '{segment_path(root, segment)}'"
+            f"USING parquet LOCATION {quoted(segment_path(root, segment))}"
         )
         spark.catalog.refreshTable(segment.table)
 

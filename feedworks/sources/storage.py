@@ -21,6 +21,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
+def quoted(path: str) -> str:
+    """``path`` as a SQL text."""
+    escaped = path.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
 def matches(spark: SparkSession, pattern: str) -> bool:
     """Whether a path, which may be a pattern, leads to anything."""
     fs, target = _resolve(spark, pattern)
