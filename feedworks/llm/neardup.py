@@ -270,10 +270,11 @@ def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", "h", "fp", "component_id", "root")
 
 
-def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def one_of_each(docs: DataFrame, radius: int = RADIUS, groups: DataFrame | None = None) -> DataFrame:
     """``docs`` with one row of each group of near duplicates: the smallest
-    doc_id, NULL last, then the smallest hash of the text."""
-    groups = stored(near_groups(docs, radius), "near-groups")
+    doc_id, NULL last, then the smallest hash of the text. ``groups`` (doc_id,
+    h, root) are those of ``near_groups`` if not given."""
+    groups = stored(near_groups(docs, radius) if groups is None else groups, "near-groups")
     first = groups.groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "h")).alias("best")
     )

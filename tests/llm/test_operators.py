@@ -356,6 +356,42 @@ def test_near_dedup(spark, sf_dir, rows):
     assert kept.columns == docs.columns and kept.count() == len(set(root))
 
 
+def test_similar_texts_leave_one(spark, monkeypatch):
+    import corpus_pipeline
+    from feedworks.llm import shingles
+
+    # Small blocks, so that groups are cut.
+    monkeypatch.setattr(shingles, "BLOCK", 4)
+    rnd = random.Random(11)
+    vocabulary = ["".join(rnd.choices("abcdefghij", k=5)) for _ in range(3000)]
+    texts = []
+    for number in range(60):
+        words = rnd.choices(vocabulary, k=rnd.randint(6, 400))
+        texts.append(" ".join(words))
+        for _ in range(12 if number < 3 else 3):
+            edited = list(words)
+            for at in rnd.sample(range(len(words)), rnd.randint(0, max(1, len(words) // 25))):
+                edited[at] = rnd.choice(vocabulary)
+            texts.append(" ".join(edited))
+    texts += ["", None, "a b", "A  b"]
+
+    def runs(t):
+        words = (t or "").lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else {()}
+
+    sets = [runs(t) for t in texts]
+    root = list(range(len(texts)))
+    edges = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and len(a & b) >= 0.8 * len(a | b)]
+    for _ in texts:
+        for i, j in edges:
+            root[i] = root[j] = min(root[i], root[j])
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id LONG, text STRING, lang STRING")
+    kept = corpus_pipeline.near_dedup(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
+    assert len(set(root)) < len(texts) - 60
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 200), (200, 100), (7, 7), (5, -4)]
     got = {(r.node, r.root) for r in connected_components(spark.createDataFrame(edges, "u BIGINT, v BIGINT")).collect()}
