@@ -15,12 +15,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedworks.llm.components import connected_components
 from feedworks.llm.neardup import forest
-from feedworks.llm.shared import slices, stored, table
+from feedworks.llm.shared import slices, stored, table, value_at_rank
 
 LEAST_PIVOTS, MOST_PIVOTS = 64, 2048
 NAMED = 8
@@ -50,17 +50,19 @@ def choose_pivots(classes: DataFrame) -> dict[int, np.ndarray]:
     sizes = dict(classes.groupBy("dim").count().limit(MAX_DIMENSIONS + 1).collect())
     if len(sizes) > MAX_DIMENSIONS:
         raise ValueError(f"more than {MAX_DIMENSIONS} vector lengths")
-    order = Window.partitionBy("dim").orderBy("h", "node")
     hashed = classes.select("dim", "node", F.xxhash64("embedding").alias("h"), "embedding")
-    picked = hashed.withColumn("place", F.row_number().over(order)).filter(
-        F.col("place") <= MOST_PIVOTS
-    )
-    pivots: dict[int, list] = {dim: [] for dim in sizes}
-    wanted = {dim: min(max(math.isqrt(n), LEAST_PIVOTS), MOST_PIVOTS) for dim, n in sizes.items()}
-    for row in picked.orderBy("dim", "place").toLocalIterator():
-        if len(pivots[row.dim]) < wanted[row.dim]:
-            pivots[row.dim].append(row.embedding)
-    return {dim: unit(np.array(rows, float)) for dim, rows in pivots.items()}
+    pivots: dict[int, np.ndarray] = {}
+    for dim, n in sizes.items():
+        wanted = min(max(math.isqrt(n), LEAST_PIVOTS), MOST_PIVOTS)
+        own = hashed.filter(F.col("dim") == dim)
+        if n > wanted:
+            # Only hashes are ranked. As doubles they keep their order, with ties,
+            # so the cut may let a few more vectors through than are wanted.
+            ranks = own.select((-F.col("h").cast("double")).alias("v"))
+            own = own.filter(F.col("h").cast("double") <= -value_at_rank(ranks, wanted))
+        rows = own.orderBy("h", "node").limit(wanted).collect()
+        pivots[dim] = unit(np.array([row.embedding for row in rows], float))
+    return pivots
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:

@@ -14,6 +14,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from feedworks.llm import brown, langid, mixing, neardup, pivots, quality, repeats, simhash, tokenfiles
@@ -227,6 +228,20 @@ def test_vectors(spark, sf_dir):
     assert len(got) == len(want) and all(g[1] <= w[1] for g, w in zip(got, want, strict=True))
 
 
+def test_pivots_without_a_window(spark, monkeypatch):
+    rnd = np.random.default_rng(8)
+    rows = [(i, 3 + i % 2, [float(x) for x in rnd.normal(size=3 + i % 2)]) for i in range(9001)]
+    classes = spark.createDataFrame(rows, "node LONG, dim INT, embedding ARRAY<FLOAT>")
+    ranked = classes.selectExpr("dim", "xxhash64(embedding) AS h", "node", "embedding").collect()
+    # A window over the table would put all vectors of a length in one task.
+    monkeypatch.setattr(F, "row_number", None)
+    got = pivots.choose_pivots(classes)
+    for dim in (3, 4):
+        own = sorted((r.h, r.node, r.embedding) for r in ranked if r.dim == dim)
+        want = np.array([v for *_, v in own[: max(math.isqrt(len(own)), pivots.LEAST_PIVOTS)]])
+        assert np.allclose(got[dim], pivots.unit(want))
+
+
 def test_byte_bpe(spark, sf_dir, rows):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
