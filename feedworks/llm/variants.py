@@ -124,7 +124,7 @@ def search_group(rows: pd.DataFrame, half: int) -> pd.DataFrame:
             out["n_near"] += np.diff(first, append=len(query)).tolist()
             out["best_n"] += counts[word[first]].tolist()
             out["best"] += [words[b] for b in word[first].tolist()]
-    return pd.DataFrame(out).astype({"n_near": "int64", "best_n": "int64"})
+    return pd.DataFrame(out, dtype=object).astype({"n_near": "int64", "best_n": "int64"})
 
 
 def near_counts(words: DataFrame) -> DataFrame:
