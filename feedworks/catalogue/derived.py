@@ -9,6 +9,7 @@ per key and the work grows with the tables.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +53,18 @@ def _day(column: Column) -> Column:
 
 def member_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One raw line per order, in one file per order day."""
+    day = _pick(F.col("k"), [(173, "undated")], _day(F.col("ordered")))
+    path = F.concat(F.lit("incoming/member/profile_"), day, F.lit(".txt"))
+    return _sent_lines(spark, sf_dir).select(
+        path.alias("source_path"),
+        "raw_record",
+        file_date(path).alias("source_file_date"),
+        F.lit(FIRST_RUN).alias("ingestion_time"),
+    )
+
+
+def _sent_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``raw_record`` of every order, with its key and day."""
     orders = spread(
         table(spark, sf_dir, "orders").select(
             F.col("o_orderkey").alias("k"),
@@ -112,20 +125,16 @@ def member_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     details = F.concat_ws("|", *fields, F.when(k % 167 == 0, "extra"))
     line = _pick(k, [(107, contracts.MEMBER_HEADER), (103, "|H|WRONG")], details)
-    day = _pick(k, [(173, "undated")], _day(ordered))
-    path = F.concat(F.lit("incoming/member/profile_"), day, F.lit(".txt"))
-    return joined.select(
-        path.alias("source_path"),
-        line.alias("raw_record"),
-        file_date(path).alias("source_file_date"),
-        F.lit(FIRST_RUN).alias("ingestion_time"),
-    )
+    return joined.select("k", "ordered", line.alias("raw_record"))
 
 
-def redemption_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+def redemption_feeds(
+    spark: SparkSession, sf_dir: str, keep: Sequence[str] = ()
+) -> DataFrame:
     """One nested feed per line item, with none, one or two transactions.
 
-    Feeds are dated to the end of the order's month.
+    Feeds are dated to the end of the order's month. ``keep`` names columns of the
+    line item to return too.
     """
     items = spread(
         table(spark, sf_dir, "lineitem").select(
@@ -191,6 +200,7 @@ def redemption_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(".json"),
     )
     return joined.select(
+        *[F.col(name) for name in keep],
         _pick(k, [(71, ""), (73, F.concat(F.lit("A"), c))], c).alias("member_id"),
         _pick(
             k,

@@ -11,6 +11,17 @@ HEADER = (
 
 # --- derived inputs -----------------------------------------------------------------
 
+MEMBER_PATH = """'incoming/member/profile_'
+      || CASE WHEN k%173=0 THEN 'undated' ELSE strftime(od, '%Y%m%d') END
+      || '.txt'"""
+MEMBER_DAY = "CASE WHEN k%173=0 THEN NULL ELSE od END"
+# The same in files of a month.
+FILE_DAY = "CASE WHEN k%173=0 THEN NULL ELSE last_day(od) END"
+MEMBER_FILE = f"""CASE WHEN k%173=0 THEN 'profile-' WHEN month(od)%3=1 THEN 'profile [1]{{a}}*-'
+      WHEN month(od)%3=2 THEN 'profile 100%41-' ELSE 'profile-' END
+      || lpad(CAST(k // 131072 AS VARCHAR), 6, '0') || '_'
+      || coalesce(strftime({FILE_DAY}, '%Y%m%d'), 'undated') || '.txt'"""
+
 LINES = f"""
 source AS (
   SELECT o_orderkey AS k, o_custkey AS c, CAST(o_orderdate AS DATE) AS od,
@@ -46,15 +57,13 @@ sent AS (
 ),
 lines AS (
   SELECT
-    'incoming/member/profile_'
-      || CASE WHEN k%173=0 THEN 'undated' ELSE strftime(od, '%Y%m%d') END
-      || '.txt' AS source_path,
+    {MEMBER_PATH} AS source_path,
     CASE WHEN k%107=0 THEN '{HEADER}' WHEN k%103=0 THEN '|H|WRONG'
          ELSE '|' || f1 || '|' || f2 || '|' || f3 || '|' || f4 || '|' || f5
               || '|' || f6 || '|' || f7 || '|' || f8 || '|' || f9 || '|' || f10
               || '|' || f11 || CASE WHEN k%167=0 THEN '|extra' ELSE '' END
     END AS raw_record,
-    CASE WHEN k%173=0 THEN NULL ELSE od END AS source_file_date
+    {MEMBER_DAY} AS source_file_date
   FROM sent
 ),
 split_lines AS (
@@ -164,7 +173,13 @@ members AS (
 )
 """
 
-FEEDS = """
+FEED_PATH = """'incoming/redemption/feed_' || k || '_' || line || '_' || part || '_'
+      || supplier || '.json'"""
+FEED_CORRUPT = "CASE WHEN k%101=0 THEN '{unreadable' END"
+# The same in files of many feeds.
+FEED_FILE = "'feed[1] {x}-' || lpad(CAST(k // 4096 AS VARCHAR), 6, '0') || '.json'"
+
+FEEDS = f"""
 items AS (
   SELECT l_orderkey AS k, l_linenumber AS line, l_partkey AS part,
          l_suppkey AS supplier, l_quantity AS quantity, l_linestatus,
@@ -175,15 +190,14 @@ items AS (
 ),
 feeds AS (
   SELECT *,
-    'incoming/redemption/feed_' || k || '_' || line || '_' || part || '_'
-      || supplier || '.json' AS source_path,
+    {FEED_PATH} AS source_path,
     CASE WHEN k%71=0 THEN '' WHEN k%73=0 THEN 'A' || c ELSE c END AS member_id,
     CASE WHEN k%79=0 THEN '20241301' WHEN k%83=0 THEN NULL
          WHEN k%89=0 THEN '20990101'
          ELSE strftime(last_day(ordered), '%Y%m%d') END AS feed_date_raw,
     CASE WHEN k%97=0 THEN NULL WHEN h%29=0 THEN 0 WHEN h%113=0 THEN 2
          WHEN h%3=0 THEN 2 ELSE 1 END AS held_transactions,
-    CASE WHEN k%101=0 THEN '{unreadable' END AS corrupt
+    {FEED_CORRUPT} AS corrupt
   FROM items
 ),
 dated_feeds AS (
@@ -337,6 +351,14 @@ def _with(ctes: str, select: str) -> str:
     return f"WITH {ctes} {select}"
 
 
+MEMBER_FILES = LATEST_MEMBERS.replace(MEMBER_PATH, MEMBER_FILE).replace(
+    MEMBER_DAY, FILE_DAY
+)
+FEED_FILES = LATEST_TRANSACTIONS.replace(FEED_PATH, FEED_FILE).replace(
+    FEED_CORRUPT, "CAST(NULL AS VARCHAR)"
+)
+STREAMED = "SELECT * EXCLUDE (source_path) FROM transactions"
+
 ORACLE: dict[str, str] = {
     "latest_per_key_status": _with(
         f"{ITEMS}, {_latest_items('latest', 'TRUE')}",
@@ -445,6 +467,15 @@ ORACLE: dict[str, str] = {
              enroll_dt, dob, codes, TRUE
            FROM checked WHERE codes <> ''""",
     ),
+    "quarantine_evolution": _with(
+        CHECKED,
+        """SELECT source_path, raw_record, NULL AS mem_id, CAST(NULL AS DATE) AS dob,
+             CAST(NULL AS INTEGER) AS rule_version, '1' AS batch_id, codes
+           FROM line_checked WHERE codes <> ''
+           UNION ALL
+           SELECT source_path, NULL, mem_id, dob, 2, '2', codes
+           FROM checked WHERE codes <> ''""",
+    ),
     "quarantine_redemptions": _with(
         CHECKED_FEEDS,
         """SELECT source_path, member_id, feed_date_raw, feed_date, NULL AS txn_id,
@@ -522,6 +553,64 @@ ORACLE: dict[str, str] = {
         SELECT c_custkey, c_name, c_mktsegment, c_nationkey FROM customer""",
     "member_ingest": _with(LATEST_MEMBERS, "SELECT * FROM members"),
     "redemption_ingest": _with(LATEST_TRANSACTIONS, "SELECT * FROM transactions"),
+    "ingest_member_files": _with(
+        MEMBER_FILES,
+        """SELECT 'target' AS part, mem_id AS item,
+             concat_ws('|', name, tier, country_code, CAST(enroll_dt AS VARCHAR),
+               CAST(flight_dt AS VARCHAR), CAST(age AS VARCHAR), source_path) AS detail,
+             CAST(1 AS BIGINT) AS row_count
+           FROM members
+           UNION ALL SELECT DISTINCT 'ledger', source_path, NULL, 1 FROM lines
+           UNION ALL SELECT 'ledger', 'nothing_20020101.txt', NULL, 1 FROM
+             (SELECT 1 FROM orders LIMIT 1)
+           UNION ALL SELECT 'errors', codes, NULL, count(*) FROM (
+             SELECT codes FROM line_checked UNION ALL SELECT codes FROM checked)
+           WHERE codes <> '' GROUP BY codes""",
+    ),
+    "ingest_redemption_files": _with(
+        FEED_FILES,
+        """, cut AS (SELECT DISTINCT k // 4096 AS number FROM feeds WHERE (k // 4096) % 7 = 3),
+           cut_codes AS (SELECT 'INVALID_REDEMPTION_JSON,MISSING_MEMBER_ID,'
+             || 'MISSING_FEED_DATE,MISSING_REDEMPTIONS_ARRAY' AS codes FROM cut)
+           SELECT 'target' AS part, member_id || '/' || txn_id AS item,
+             concat_ws('|', CAST(feed_date AS VARCHAR), CAST(txn_date AS VARCHAR), partner,
+               CAST(miles_redeemed AS VARCHAR), status, source_path) AS detail,
+             CAST(1 AS BIGINT) AS row_count
+           FROM transactions
+           UNION ALL SELECT DISTINCT 'ledger', source_path, NULL, 1 FROM feeds
+           UNION ALL SELECT 'ledger', 'cut-' || lpad(CAST(number AS VARCHAR), 6, '0')
+             || '.json', NULL, 1 FROM cut
+           UNION ALL SELECT 'ledger', 'nothing.json', NULL, 1 FROM
+             (SELECT 1 FROM orders LIMIT 1)
+           UNION ALL SELECT 'errors', codes, NULL, count(*) FROM (
+             SELECT codes FROM feeds_checked UNION ALL SELECT codes FROM rows_checked
+             UNION ALL SELECT codes FROM cut_codes)
+           WHERE codes <> '' GROUP BY codes""",
+    ),
+    "stream_redemptions_merge": _with(FEED_FILES, STREAMED),
+    "profile_view": _with(
+        f"{LATEST_MEMBERS}, {LATEST_TRANSACTIONS}",
+        f"""SELECT {PROFILE_FACTS}, m.name, m.enroll_dt, m.flight_dt, m.tier,
+              m.agent_name, m.state, m.country_code, m.dob, m.flag, m.age,
+              m.stale_member
+            FROM transactions t LEFT JOIN members m ON t.member_id = m.mem_id""",
+    ),
+    "country_tables": _with(
+        LATEST_MEMBERS,
+        """SELECT * EXCLUDE (source_path, source_file_date),
+             CASE country_code WHEN 'USA' THEN 'usa' WHEN 'IND' THEN 'india'
+               WHEN 'AUS' THEN 'australia' ELSE 'philippines' END AS country_table
+           FROM members""",
+    ),
+    "uniqueness_gate": """
+        WITH sizes AS (
+          SELECT count(*) AS n, count(*) FILTER (c_custkey % 2 = 0) AS even FROM customer)
+        SELECT 'clean batch' AS attempt, 'accepted' AS outcome, CAST(even AS BIGINT) AS table_rows FROM sizes
+        UNION ALL SELECT 'repeated key in batch', 'refused', even FROM sizes
+        UNION ALL SELECT 'two NULL keys in batch', 'refused', even FROM sizes
+        UNION ALL SELECT 'one NULL key in batch', 'accepted', even + 1 FROM sizes
+        UNION ALL SELECT 'key held twice', 'refused', 2 * even + 2 FROM sizes
+        UNION ALL SELECT 'other key held twice', 'refused', 2 * even + 2 FROM sizes""",
     "stream_available_now": _with(
         DECODED,
         """SELECT * EXCLUDE (raw_record, source_path, source_file_date)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,28 +12,52 @@ from pyspark.sql import functions as F
 
 from feedworks import contracts
 from feedworks.catalogue import derived
-from feedworks.catalogue.derived import AS_OF, SECOND_RUN, table
+from feedworks.catalogue.derived import AS_OF, FIRST_RUN, SECOND_RUN, table
+from feedworks.catalogue.feed_files import (
+    EMPTY_FEED,
+    EMPTY_LINES,
+    arrive,
+    base_name,
+    deliver,
+    feed_files,
+    member_files,
+)
 from feedworks.functions.dates import age_years, is_stale, parse_date
 from feedworks.functions.text import status_rank
 from feedworks.operators.delimited import split_record
 from feedworks.operators.enrich import enrich_with_dimension
 from feedworks.operators.latest import latest_per_key, newest_first
 from feedworks.operators.quality import duplicate_keys, error_summary
-from feedworks.operators.rules import ERRORS, with_errors
+from feedworks.operators.rules import ERRORS, LEVEL, is_rejected, with_errors
 from feedworks.operators.upsert import ACTION, upsert
 from feedworks.plans import members, redemptions, segments
-from feedworks.plans.ingest import apply_member_lines, apply_redemption_feeds
+from feedworks.plans.ddl import create_tables
+from feedworks.plans.ingest import (
+    apply_member_lines,
+    apply_redemption_feeds,
+    ingest_members,
+    ingest_redemptions,
+)
 from feedworks.plans.layout import Layout
 from feedworks.plans.member_rules import line_rules, member_rules
-from feedworks.plans.profile import BRIEF_ATTRIBUTES, member_redemption_profile
+from feedworks.plans.profile import (
+    BRIEF_ATTRIBUTES,
+    VIEW,
+    create_profile_view,
+    member_redemption_profile,
+)
 from feedworks.plans.redemption_rules import feed_rules, transaction_rules
 from feedworks.sinks.exports import export_view, write_csv
 from feedworks.sinks.layers import Layer
 from feedworks.sinks.targets import Target, write_partitioned
 from feedworks.sources.files import not_processed
-from feedworks.sources.storage import scratch_path
+from feedworks.sources.storage import file_names, scratch_path
 from feedworks.sources.tables import read_table, sql_scan
-from feedworks.streaming.available_now import run_available, stream_lines
+from feedworks.streaming.available_now import (
+    run_available,
+    stream_lines,
+    stream_redemptions,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -325,22 +351,19 @@ def rules_row(spark, sf_dir):
 @query
 def routed_counts(spark, sf_dir):
     """How many lines, rows, feeds and transactions go which way."""
-    lines = derived.member_lines(spark, sf_dir)
     dated = redemptions.date_feeds(derived.redemption_feeds(spark, sf_dir))
-    checks = {
-        "line": (split_record(lines), line_rules()),
-        "member": (members.decode_members(lines), member_rules(AS_OF)),
-        "feed": (dated, feed_rules(AS_OF)),
-        "transaction": (
-            redemptions.flatten_feeds(dated), transaction_rules(AS_OF)
-        ),
-    }
-    way = F.when(F.size(ERRORS) == 0, "valid").otherwise("invalid").alias("way")
+    checked = (
+        members.check_all(derived.member_lines(spark, sf_dir), AS_OF),
+        redemptions.check_all(dated, AS_OF),
+    )
+    # Rows decoded from lines are called members.
+    level = F.when(F.col(LEVEL) == members.ROW, "member").otherwise(F.col(LEVEL))
+    way = F.when(is_rejected(), "invalid").otherwise("valid")
     counts = [
-        with_errors(rows, rules)
-        .groupBy(F.lit(level).alias("level"), way)
-        .agg(F.count(F.lit(1)).alias("row_count"))
-        for level, (rows, rules) in checks.items()
+        records.groupBy(level.alias("level"), way.alias("way")).agg(
+            F.count(F.lit(1)).alias("row_count")
+        )
+        for records in checked
     ]
     return reduce(DataFrame.unionByName, counts)
 
@@ -361,6 +384,27 @@ def quarantine_union(spark, sf_dir):
     )
 
 
+@query
+def quarantine_evolution(spark, sf_dir):
+    """Two batches of different columns: bad lines as they are, then bad rows with
+    columns the layer does not know yet."""
+    layer = Layer(
+        scratch_path(spark, "evolving"), contracts.MEMBER_RAW, evolving=True
+    )
+    checked = members.check_all(derived.member_lines(spark, sf_dir), AS_OF)
+    bad = checked.filter(is_rejected())
+    lines = bad.filter(F.col(LEVEL) == members.LINE)
+    layer.append(lines.select(*contracts.column_names(contracts.MEMBER_RAW), ERRORS), "1")
+    rows = bad.filter(F.col(LEVEL) == members.ROW)
+    layer.append(
+        rows.select("source_path", "mem_id", "dob", ERRORS, F.lit(2).alias("rule_version")),
+        "2",
+    )
+    return layer.read(spark).select(
+        "source_path", "raw_record", "mem_id", "dob", "rule_version", "batch_id", _joined()
+    )
+
+
 @query
 def quarantine_redemptions(spark, sf_dir):
     """Bad feeds and bad transactions under one schema."""
@@ -558,3 +602,191 @@ def stream_available_now(spark, sf_dir):
     return decoded.drop(
         "source_path", "source_file_date", "ingestion_time", "raw_record"
     )
+
+
+# --- runs over files --------------------------------------------------------------
+
+
+def _outcome(target, ledger, quarantine):
+    """Target rows, recorded files and error counts of a run as one table."""
+    nothing = F.lit(None).cast("string").alias("detail")
+    one = F.lit(1).cast("bigint").alias("row_count")
+    files = ledger.select(
+        F.lit("ledger").alias("part"), base_name("source_path").alias("item"), nothing, one
+    )
+    errors = error_summary(quarantine).select(
+        F.lit("errors").alias("part"),
+        F.concat_ws(",", ERRORS).alias("item"),
+        nothing,
+        F.col("invalid_row_count").alias("row_count"),
+    )
+    return target.withColumn("row_count", one).unionByName(files).unionByName(errors)
+
+
+def _detail(*columns):
+    texts = [F.col(c).cast("string") for c in columns]
+    return F.concat_ws("|", *texts, base_name("source_path")).alias("detail")
+
+
+@query
+def ingest_member_files(spark, sf_dir):
+    """Files with odd names, then more of them and an empty one, then none."""
+    root = scratch_path(spark, "member-files")
+    layout, incoming = Layout(f"{root}/tables"), f"{root}/in coming"
+    deliver(member_files(spark, sf_dir), f"{root}/sent")
+    for second, now in ((False, FIRST_RUN), (True, SECOND_RUN)):
+        empty = EMPTY_LINES if second else None
+        arrive(spark, f"{root}/sent", incoming, second, empty)
+        ingest_members(spark, incoming, layout, AS_OF, now)
+    ingest_members(spark, incoming, layout, AS_OF, SECOND_RUN)
+    target = layout.member_target.read(spark).select(
+        F.lit("target").alias("part"),
+        F.col("mem_id").alias("item"),
+        _detail("name", "tier", "country_code", "enroll_dt", "flight_dt", "age"),
+    )
+    return _outcome(
+        target, layout.member_ledger.read(spark), layout.member_quarantine.read(spark)
+    )
+
+
+@query
+def ingest_redemption_files(spark, sf_dir):
+    """JSON files of many feeds, some cut off, in two runs and one without news."""
+    root = scratch_path(spark, "redemption-files")
+    layout, incoming = Layout(f"{root}/tables"), f"{root}/in coming"
+    deliver(feed_files(spark, sf_dir), f"{root}/sent")
+    for second, now in ((False, FIRST_RUN), (True, SECOND_RUN)):
+        empty = EMPTY_FEED if second else None
+        arrive(spark, f"{root}/sent", incoming, second, empty)
+        ingest_redemptions(spark, incoming, layout, AS_OF, now)
+    ingest_redemptions(spark, incoming, layout, AS_OF, SECOND_RUN)
+    target = layout.redemption_target.read(spark).select(
+        F.lit("target").alias("part"),
+        F.concat_ws("/", "member_id", "txn_id").alias("item"),
+        _detail("feed_date", "txn_date", "partner", "miles_redeemed", "status"),
+    )
+    return _outcome(
+        target,
+        layout.redemption_ledger.read(spark),
+        layout.redemption_quarantine.read(spark),
+    )
+
+
+@query
+def stream_redemptions_merge(spark, sf_dir):
+    """The same files as a stream that merges a few of them in each batch."""
+    root = scratch_path(spark, "redemption-stream")
+    layout, incoming = Layout(f"{root}/tables"), f"{root}/in coming"
+    deliver(feed_files(spark, sf_dir), f"{root}/sent")
+    # A few batches, whatever the number of files.
+    several = max(1, len(file_names(spark, f"{root}/sent")) // 8)
+    for second in (False, True):
+        arrive(spark, f"{root}/sent", incoming, second)
+        stream_redemptions(
+            spark, incoming, layout, f"{root}/checkpoint", AS_OF, SECOND_RUN,
+            max_files=several,
+        ).awaitTermination()
+    return layout.redemption_target.read(spark).drop("ingestion_time", "source_path")
+
+
+# --- the gate and the catalog -----------------------------------------------------
+
+
+@query
+def uniqueness_gate(spark, sf_dir):
+    """What the merge accepts, and the rows of the table after each attempt."""
+    columns = "c_custkey BIGINT, c_name STRING, day INT, c_nationkey INT"
+    target = Target(
+        name="customers",
+        path=scratch_path(spark, "gate"),
+        columns=columns,
+        keys=("c_custkey",),
+        recency=lambda column: [column("day")],
+        partition_by="c_nationkey",
+    )
+    customers = table(spark, sf_dir, "customer").select(
+        "c_custkey", "c_name", F.lit(1).alias("day"), F.col("c_nationkey").cast("int")
+    )
+    even = customers.filter("c_custkey % 2 = 0")
+    newer = even.withColumn("day", F.lit(2))
+    unknown = customers.orderBy("c_custkey").limit(1).withColumn(
+        "c_custkey", F.lit(None).cast("bigint")
+    )
+
+    def held_twice():
+        """What another writer may leave."""
+        target.read(spark).write.mode("append").partitionBy("c_nationkey").parquet(
+            target.data_path
+        )
+
+    odd = customers.filter("c_custkey % 2 = 1")
+    attempts = [
+        ("clean batch", even, None),
+        ("repeated key in batch", even.unionAll(newer), None),
+        ("two NULL keys in batch", unknown.unionAll(unknown), None),
+        ("one NULL key in batch", unknown, None),
+        ("key held twice", newer, held_twice),
+        ("other key held twice", odd, None),
+    ]
+    seen = []
+    for attempt, batch, before in attempts:
+        if before:
+            before()
+        try:
+            # A key of the batch that is held twice is found without the check of
+            # the whole table; only other keys need it.
+            target.apply(batch, check_whole=attempt.startswith("other"))
+            outcome = "accepted"
+        except ValueError:
+            outcome = "refused"
+        rows = target.read(spark).count()
+        seen.append((attempt, outcome, rows))
+    return spark.createDataFrame(seen, "attempt STRING, outcome STRING, table_rows BIGINT")
+
+
+@contextmanager
+def _own_catalog(spark):
+    """A database for one query."""
+    name, before = f"feedworks_{uuid.uuid4().hex}", spark.catalog.currentDatabase()
+    spark.sql(f"CREATE DATABASE {name}")
+    spark.catalog.setCurrentDatabase(name)
+    try:
+        yield
+    finally:
+        spark.catalog.setCurrentDatabase(before)
+        spark.sql(f"DROP DATABASE {name} CASCADE")
+
+
+@query
+def profile_view(spark, sf_dir):
+    """Runs, DDL over their tables, the profile view, read back by SQL."""
+    layout = Layout(scratch_path(spark, "catalog"))
+    lines = derived.member_lines(spark, sf_dir)
+    feeds = derived.redemption_feeds(spark, sf_dir)
+    with _own_catalog(spark):
+        create_tables(spark, layout)
+        apply_member_lines(lines, layout, AS_OF, SECOND_RUN, "only")
+        apply_redemption_feeds(feeds, layout, AS_OF, SECOND_RUN, "only")
+        create_tables(spark, layout)
+        create_profile_view(spark)
+        path = scratch_path(spark, "profile")
+        # Partitions of catalog tables are looked up when a query runs.
+        spark.sql(f"SELECT * FROM {VIEW}").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@query
+def country_tables(spark, sf_dir):
+    """Country tables that the member run registers, read back by SQL."""
+    layout = Layout(scratch_path(spark, "country-tables"))
+    lines = derived.member_lines(spark, sf_dir)
+    with _own_catalog(spark):
+        for number, part in enumerate(_in_two_runs(lines, F.col("source_file_date"))):
+            apply_member_lines(
+                part, layout, AS_OF, SECOND_RUN, f"run-{number}", register=True
+            )
+        parts = [
+            f"SELECT *, '{s.name}' AS country_table FROM {s.table}"
+            for s in segments.SEGMENTS
+        ]
+        return spark.sql(" UNION ALL ".join(parts))

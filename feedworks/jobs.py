@@ -26,7 +26,8 @@ from feedworks.streaming.available_now import stream_members, stream_redemptions
 def _members(spark, args, layout):
     print(
         ingest_members(
-            spark, args.incoming, layout, args.as_of, args.now, args.check_whole
+            spark, args.incoming, layout, args.as_of, args.now, args.check_whole,
+            register=True,
         )
         or "nothing new"
     )

@@ -9,7 +9,7 @@ rows that need one.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from typing import NamedTuple
 
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from feedworks.functions.once import computed_once
 
 ERRORS = "validation_errors"
+# What kind of record a row stands for, where one pass checks several kinds.
+LEVEL = "level"
 _CODES = "__fired_codes"
 
 
@@ -74,3 +76,29 @@ def route(df: DataFrame, rules: Sequence[Rule]) -> Routed:
         .withColumn(ERRORS, F.split(_CODES, ","))
         .drop(_CODES),
     )
+
+
+def with_level_errors(
+    df: DataFrame, rules: Mapping[str, Sequence[Rule]]
+) -> DataFrame:
+    """``with_errors`` by the rules of each row's ``LEVEL``, in one pass.
+
+    ``df`` has one row for each record of each level, such as a line and the row
+    decoded from it, so a record that is bad on two levels gives two bad rows.
+    """
+    codes = F.lit("")
+    for level, own in rules.items():
+        codes = F.when(F.col(LEVEL) == level, fired_codes(own)).otherwise(codes)
+    return (
+        df.withColumn(_CODES, computed_once(codes))
+        .withColumn(ERRORS, _code_array(F.col(_CODES)))
+        .drop(_CODES)
+    )
+
+
+def is_rejected() -> Column:
+    return F.size(ERRORS) > 0
+
+
+def is_accepted(level: str) -> Column:
+    return (F.col(LEVEL) == level) & (F.size(ERRORS) == 0)

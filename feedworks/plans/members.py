@@ -11,7 +11,15 @@ from feedworks import contracts
 from feedworks.functions.dates import age_years, is_stale
 from feedworks.operators.delimited import Field, decode, split_record
 from feedworks.operators.latest import latest_per_key, newest_first, settle_ties
-from feedworks.operators.rules import Routed, route
+from feedworks.operators.rules import (
+    ERRORS,
+    LEVEL,
+    Routed,
+    is_accepted,
+    is_rejected,
+    route,
+    with_level_errors,
+)
 from feedworks.plans.layout import member_recency
 from feedworks.plans.member_rules import line_rules, member_rules
 
@@ -55,11 +63,46 @@ def check_members(lines: DataFrame, as_of: dt.date) -> Routed:
     return route(decode_members(lines), member_rules(as_of))
 
 
+LINE, ROW = "line", "row"
+
+
+def check_all(lines: DataFrame, as_of: dt.date) -> DataFrame:
+    """Lines and the rows decoded from them with their errors, from one scan and
+    one parse: a line gives a row of ``LEVEL`` line and, if it is a detail line of
+    the right width, one of ``LEVEL`` row. Columns of the other level are NULL.
+    """
+    split = split_record(lines)
+    is_detail = F.col("record_type") == contracts.DETAIL_TYPE
+    right_width = F.col("field_count") == contracts.MEMBER_FIELD_COUNT
+    levels = F.when(
+        is_detail & right_width, F.array(F.lit(LINE), F.lit(ROW))
+    ).otherwise(F.array(F.lit(LINE)))
+    levelled = split.withColumn(LEVEL, F.explode(levels))
+    own = F.col(LEVEL)
+    parted = levelled.withColumns(
+        {
+            "fields": F.when(own == ROW, F.col("fields")),
+            "record_type": F.when(own == LINE, F.col("record_type")),
+        }
+    )
+    decoded = decode(
+        parted, MEMBER_FIELDS, [*PROVENANCE, "record_type", "field_count", LEVEL]
+    )
+    rules = {LINE: line_rules(), ROW: member_rules(as_of)}
+    return with_level_errors(decoded, rules)
+
+
 def rejected_members(lines: DataFrame, as_of: dt.date) -> DataFrame:
     """Bad lines and bad rows under one set of columns."""
-    return check_lines(lines).invalid.unionByName(
-        check_members(lines, as_of).invalid, allowMissingColumns=True
-    )
+    return quarantined(check_all(lines, as_of))
+
+
+def quarantined(checked: DataFrame) -> DataFrame:
+    return checked.filter(is_rejected()).drop(LEVEL)
+
+
+def accepted_members(checked: DataFrame) -> DataFrame:
+    return checked.filter(is_accepted(ROW)).drop(LEVEL, ERRORS, "record_type")
 
 
 def stage_members(valid: DataFrame, as_of: dt.date) -> DataFrame:

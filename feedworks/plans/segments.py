@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import DataFrame, SparkSession
 
 from feedworks import contracts
@@ -49,13 +51,17 @@ SEGMENTS = (
 )
 
 
-def write_country_tables(members: DataFrame, root: str) -> None:
+def write_country_tables(
+    members: DataFrame, root: str, only: Collection[str] | None = None
+) -> None:
+    """All country tables, or those of the countries in ``only``."""
     fan_out(
         members,
         root,
         "country_code",
         SEGMENTS,
         contracts.column_names(contracts.COUNTRY_TABLE),
+        only,
     )
 
 

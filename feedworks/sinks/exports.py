@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedworks.sinks.switch import Switch
 from feedworks.sources.storage import quoted
 
 SEGMENT = "segment"
@@ -54,24 +55,50 @@ def fan_out(
     column: str,
     segments: Sequence[Segment],
     columns: Sequence[str],
+    only: Collection | None = None,
 ) -> None:
-    """Write all segment tables in one job, replacing what was there.
-
-    The segment column picks the folder and stays in the files, so each folder
-    is a complete table of its own. No shuffle: each task writes its share of
-    every segment. Segments left without rows lose their folder and read as
-    empty.
+    """Write segment tables in one job, replacing what was there.
+
+    With ``only``, segments of other values keep their files. The new files are
+    written beside the tables and then switched in, so a write that fails leaves
+    every table as it was, and one that dies after the switch is finished by the
+    next call. The segment column picks the folder and stays in the files, so each
+    folder is a complete table of its own. No shuffle: each task writes its share
+    of every segment. Segments left without rows read as empty.
     """
+    spark = df.sparkSession
+    switch = Switch(root, f"{root}/_pending")
+    finish_fan_out(spark, root)
+    chosen = [s for s in segments if only is None or s.value in only]
+    if not chosen:
+        return
     name = F.lit(None).cast("string")
-    for segment in segments:
+    for segment in chosen:
         name = F.when(F.col(column) == segment.value, segment.name).otherwise(name)
     (
-        df.filter(F.col(column).isin([segment.value for segment in segments]))
+        df.filter(F.col(column).isin([segment.value for segment in chosen]))
         .select(*columns, name.alias(SEGMENT))
         .write.mode("overwrite")
+        .option("partitionOverwriteMode", "static")
         .partitionBy(SEGMENT)
-        .parquet(root)
+        .parquet(switch.rows)
     )
+    old = [
+        file
+        for segment in chosen
+        for file in switch.held_below(spark, f"{SEGMENT}={segment.name}")
+    ]
+    switch.commit(spark, old)
+    finish_fan_out(spark, root)
+
+
+def finish_fan_out(spark: SparkSession, root: str) -> None:
+    """Put completely written files in place; safe to repeat."""
+    switch = Switch(root, f"{root}/_pending")
+    if switch.ready(spark):
+        switch.move(spark)
+        switch.remove(spark, switch.removed(spark))
+        switch.end(spark)
 
 
 def register_segments(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,12 +63,55 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(target, True)
 
 
-def delete_source(spark: SparkSession, source_path: str) -> None:
-    """Remove a file by the encoded name that scans report for it."""
-    decoded = spark._jvm.org.apache.hadoop.fs.Path(
-        spark._jvm.java.net.URI(source_path)
-    )
-    delete(spark, decoded.toString())
+def full_path(spark: SparkSession, path: str) -> str:
+    fs, target = _resolve(spark, path)
+    return fs.makeQualified(target).toString()
+
+
+def scanned_path(spark: SparkSession, source_path: str) -> str:
+    """The full path of a file by the encoded name that scans report for it."""
+    uri = spark._jvm.java.net.URI(source_path)
+    return spark._jvm.org.apache.hadoop.fs.Path(uri).toString()
+
+
+def file_names(spark: SparkSession, path: str) -> list[str]:
+    """All files below a folder, named from there; none if it is not there."""
+    fs, target = _resolve(spark, path)
+    if not fs.exists(target):
+        return []
+    root = fs.makeQualified(target).toString()
+    names, files = [], fs.listFiles(target, True)
+    while files.hasNext():
+        names.append(files.next().getPath().toString()[len(root) + 1 :])
+    return names
+
+
+def move(spark: SparkSession, source: str, to: str) -> None:
+    """Rename a file, making the folder it goes to."""
+    fs, target = _resolve(spark, to)
+    fs.mkdirs(target.getParent())
+    if not fs.rename(_resolve(spark, source)[1], target):
+        raise OSError(f"{source} could not be moved to {to}")
+
+
+def write_names(spark: SparkSession, path: str, names: Iterable[str]) -> None:
+    """A small text file with one name a line."""
+    fs, target = _resolve(spark, path)
+    out = fs.create(target, True)
+    try:
+        out.write(bytearray("".join(f"{name}\n" for name in names).encode()))
+    finally:
+        out.close()
+
+
+def read_names(spark: SparkSession, path: str) -> list[str]:
+    fs, target = _resolve(spark, path)
+    source = fs.open(target)
+    try:
+        text = spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+    finally:
+        source.close()
+    return text.split("\n")[:-1]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def read_table(
-    spark: SparkSession, path: str, schema: str, fmt: str = "parquet"
+    spark: SparkSession, path: str, schema: str | StructType, fmt: str = "parquet"
 ) -> DataFrame:
     """A table whose columns are known: nothing is inferred, no footer is
     merged, and files that lack a later-added column give NULL for it."""

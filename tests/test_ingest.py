@@ -393,3 +393,79 @@ def test_two_streams_keep_all_raw_lines(spark, root):
         ).awaitTermination()
     lines = spark.read.text([f"{root}/in0", f"{root}/in1"]).count()
     assert layout.member_raw.read(spark).count() == lines
+
+
+def test_any_group_of_files_gives_the_same_tables(spark, root, monkeypatch):
+    samples.write_members(f"{root}/in", *NAMES)
+    samples.write_feeds(f"{root}/feeds", samples.FEEDS)
+    found = []
+    for group in (1, 3, 10_000):
+        layout = Layout(f"{root}/out{group}")
+        report = ingest_members(
+            spark, f"{root}/in", layout, AS_OF, run_at(1), group_files=group
+        )
+        assert (report.files, report.accepted, report.rejected) == (4, 10, 7)
+        assert ids(layout.member_target.read(spark), *MEMBER_COLUMNS) == EXPECTED_MEMBERS
+        assert layout.member_ledger.read(spark).count() == 4
+        report = ingest_redemptions(
+            spark, f"{root}/feeds", layout, AS_OF, run_at(1), group_files=group
+        )
+        assert report.files == len(samples.FEEDS)
+        assert (
+            ids(layout.redemption_target.read(spark), *TRANSACTION_COLUMNS)
+            == EXPECTED_TRANSACTIONS
+        )
+        errors = layout.redemption_quarantine.read(spark).select("validation_errors")
+        found.append(Counter(map(str, errors.collect())))
+    assert found[0] == found[1] == found[2]
+
+
+def test_the_ledger_stays_small(spark, root, monkeypatch):
+    monkeypatch.setattr("feedworks.plans.ingest.LEDGER_BATCHES", 3)
+    layout = Layout(f"{root}/out")
+    samples.write_members(f"{root}/in", *NAMES)
+    ingest_members(spark, f"{root}/in", layout, AS_OF, run_at(1), group_files=1)
+    held = ids(layout.member_ledger.read(spark), "source_path")
+    assert len(held) == 4
+    # The next run finds four batches and writes them together.
+    assert ingest_members(spark, f"{root}/in", layout, AS_OF, run_at(2)) is None
+    folders = [p.name for p in Path(layout.member_ledger.path).glob("batch_id=all-*")]
+    assert len(folders) == 1
+    assert ids(layout.member_ledger.read(spark), "source_path") == held
+    data = [p for p in Path(layout.member_ledger.path).rglob("*.parquet") if "batch_id=none" not in str(p)]
+    assert len(data) == 1
+
+
+def test_a_member_run_leaves_other_countries_alone(spark, root):
+    layout = Layout(f"{root}/out")
+    samples.write_members(f"{root}/in", *NAMES)
+    ingest_members(spark, f"{root}/in", layout, AS_OF, run_at(1))
+
+    def held():
+        found = {}
+        for path in Path(layout.segments).rglob("*.parquet"):
+            found.setdefault(path.parent.name, set()).add(path.name)
+        return found
+
+    before = held()
+    line = "|D|N|200000000004|20190310|20240105|NEW|I|WA|IND|19840229|A"
+    Path(root, "in", "later_20240209.txt").write_text(f"{samples.MEMBER_HEADER}\n{line}\n")
+    ingest_members(spark, f"{root}/in", layout, AS_OF, run_at(2))
+    after = held()
+    assert after["segment=australia"] == before["segment=australia"]
+    # The member has moved from one to the other.
+    assert not after["segment=usa"] & before["segment=usa"]
+    assert not after["segment=india"] & before["segment=india"]
+    assert layout.member_target.touched(spark) == []
+
+
+def test_country_tables_left_out_by_a_run_that_died_are_written_later(spark, root, monkeypatch):
+    layout = Layout(f"{root}/out")
+    samples.write_members(f"{root}/in", *NAMES)
+    with monkeypatch.context() as patch:
+        patch.setattr("feedworks.plans.segments.write_country_tables", None)
+        with pytest.raises(TypeError):
+            ingest_members(spark, f"{root}/in", layout, AS_OF, run_at(1))
+    ingest_members(spark, f"{root}/in", layout, AS_OF, run_at(2))
+    tables = read_table(spark, layout.segments, f"{contracts.COUNTRY_TABLE}, segment STRING")
+    assert Counter(r.segment for r in tables.collect()) == {"usa": 3, "india": 2, "australia": 1}

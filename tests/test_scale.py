@@ -11,8 +11,9 @@ from feedworks.catalogue.queries import all_queries
 from feedworks.operators.enrich import enrich_with_dimension
 from feedworks.operators.latest import latest_per_key, newest_first
 from feedworks.operators.quality import duplicate_keys
+from feedworks.operators.rules import is_rejected
 from feedworks.operators.upsert import changed_rows, upsert
-from feedworks.plans import members
+from feedworks.plans import members, redemptions
 from feedworks.sinks.exports import Segment, fan_out
 from feedworks.sinks.targets import Target, gathered, write_partitioned
 from feedworks.sources.files import not_processed
@@ -22,7 +23,9 @@ SF_DIR = "/root/testdata/sf0.001"
 WRITING = {
     "upsert_target", "quarantine_union", "country_fanout", "export_usa",
     "export_india", "export_australia", "partitioned_roundtrip", "member_ingest",
-    "redemption_ingest", "stream_available_now",
+    "redemption_ingest", "stream_available_now", "ingest_member_files",
+    "ingest_redemption_files", "stream_redemptions_merge", "uniqueness_gate",
+    "profile_view", "country_tables", "quarantine_evolution",
 }
 
 
@@ -149,3 +152,64 @@ def test_fan_out_is_one_write_without_shuffle(spark, root):
     assert len(jobs) == 1
     stored = spark.read.parquet(root).select("v", "c", "segment")
     assert sorted(map(tuple, stored.collect())) == [(1, "A", "a"), (2, "B", "b")]
+
+
+def test_a_small_batch_does_not_shuffle_the_held_table(spark, root):
+    columns = "k BIGINT, day INT, payload STRING, p STRING"
+    target = Target("t", f"{root}/t", columns, ("k",), lambda c: [c("day")], "p")
+    held = spark.range(20000).select(
+        F.col("id").alias("k"), F.lit(1).alias("day"),
+        F.sha2(F.col("id").cast("string"), 256).alias("payload"), F.lit("a").alias("p"),
+    )
+    target.apply(held)
+    held.limit(3).withColumn("day", F.lit(2)).write.parquet(f"{root}/batch")
+    batch = spark.read.parquet(f"{root}/batch")
+    lines = plan(changed_rows(target.read(spark), batch, ["k"], target.recency, ["p"])).splitlines()
+    at = next(i for i, line in enumerate(lines) if "FileScan" in line and "/t/data" in line)
+    depth = [len(re.match(r"[\s:|+*()\d-]*", line).group()) for line in lines]
+    above = []
+    for i in range(at, -1, -1):
+        if depth[i] < depth[at]:
+            depth[at] = depth[i]
+            above.append(lines[i])
+    joined = next(i for i, line in enumerate(above) if "Join" in line)
+    assert "BroadcastHashJoin" in above[joined] and "Inner" in above[joined]
+    assert not any("Exchange hash" in line for line in above[:joined])
+
+
+def test_a_large_batch_meets_the_held_table_in_a_sort_merge(spark, root, settings):
+    settings(autoBroadcastJoinThreshold="-1")
+    columns = "k BIGINT, day INT, p STRING"
+    data = spark.range(100).select(F.col("id").alias("k"), F.lit(1).alias("day"), F.lit("a").alias("p"))
+    text = plan(changed_rows(data, data, ["k"], lambda c: [c("day")], ["p"]))
+    assert columns and "Broadcast" not in text and "Cartesian" not in text
+
+
+def test_lines_and_rows_are_checked_in_one_pass(spark, root):
+    derived.member_lines(spark, SF_DIR).write.parquet(f"{root}/lines")
+    lines = spark.read.parquet(f"{root}/lines")
+    checked = members.check_all(lines, derived.AS_OF)
+    for df in (checked, members.quarantined(checked)):
+        text = plan(df)
+        assert text.count("FileScan") == 1 and text.count("split(raw_record") == 1
+        assert text.count("gettimestamp(") == 4 and "Exchange" not in text
+    parted = members.check_lines(lines), members.check_members(lines, derived.AS_OF)
+    for part, level in zip(parted, (members.LINE, members.ROW), strict=True):
+        own = checked.filter(F.col("level") == level)
+        assert own.filter(is_rejected()).count() == part.invalid.count() > 0
+        assert own.filter(~is_rejected()).count() == part.valid.count() > 0
+
+
+def test_feeds_and_transactions_are_checked_in_one_pass(spark, root):
+    feeds = redemptions.date_feeds(derived.redemption_feeds(spark, SF_DIR))
+    feeds.write.parquet(f"{root}/feeds")
+    dated = spark.read.parquet(f"{root}/feeds")
+    checked = redemptions.check_all(dated, derived.AS_OF)
+    text = plan(redemptions.quarantined(checked))
+    assert text.count("FileScan") == 1 and "Exchange" not in text
+    levels = (redemptions.FEED, redemptions.TRANSACTION)
+    parted = redemptions.check_feeds(dated, derived.AS_OF), redemptions.check_transactions(dated, derived.AS_OF)
+    for part, level in zip(parted, levels, strict=True):
+        own = checked.filter(F.col("level") == level)
+        assert own.filter(is_rejected()).count() == part.invalid.count() > 0
+        assert own.filter(~is_rejected()).count() == part.valid.count() > 0
