@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +37,7 @@ GRAM = 16
 SEGMENT = 1 << 19
 MOST_CLASSES = 4096
 RUNS_AT_ONCE = 20_000
+BUCKET_RUNS = 50_000
 _PLACE = np.uint64((1 << 20) - 1)
 
 
@@ -190,11 +192,6 @@ def _window_hashes(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[p
         )
 
 
-def _with_keys(docs: DataFrame) -> DataFrame:
-    text = whole_text()
-    return docs.withColumns({"k1": F.xxhash64(text), "k2": F.xxhash64(F.lit(1), text)})
-
-
 def repeated_spans(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     """``k1``, ``k2`` and ``spans``, the byte ranges to remove, for the texts
     that have any.
@@ -262,18 +259,41 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW) -> DataFrame:
         classes.filter("copies = 1").select(*class_key), class_key, "left_semi"
     )
     resolved = stored(whole.unionByName(partial), "run-spans")
-    placed = found.select("k1", "k2", "start", *class_key).join(resolved, class_key).select(
-        "k1",
-        "k2",
-        F.transform(
-            "spans",
-            lambda s: F.struct(
-                (F.col("start") + s["a"]).alias("a"),
-                (F.col("start") + s["b"] + (window - 1)).alias("b"),
-            ),
-        ).alias("spans"),
+    return spans_by_text(found.select("k1", "k2", "start", *class_key), resolved, window)
+
+
+def spans_by_text(found: DataFrame, resolved: DataFrame, window: int) -> DataFrame:
+    """``k1``, ``k2``, ``spans`` of the texts that hold resolved classes.
+
+    A passage that many texts share makes many runs of few classes. Texts are
+    dealt to buckets, and a class is joined once to each bucket that has it, not
+    once to each run; within a bucket, whose size is bounded, runs look it up.
+    """
+    class_key = ["anchor", "c1", "c2"]
+    buckets = 1 + found.count() // BUCKET_RUNS
+    dealt = found.withColumn("bucket", F.pmod(F.xxhash64("k1", "k2"), F.lit(buckets)).cast("int"))
+    known = dealt.select("bucket", *class_key).distinct().join(resolved, class_key)
+
+    def look_up(runs: pd.DataFrame, classes: pd.DataFrame) -> pd.DataFrame:
+        number = {key: i for i, key in enumerate(zip(*(classes[c].tolist() for c in class_key), strict=True))}
+        spans = [[(s["a"], s["b"] + window - 1) for s in some] for some in classes.spans]
+        texts: dict[tuple[int, int], list] = {}
+        for key, place, start in zip(
+            zip(*(runs[c].tolist() for c in class_key), strict=True),
+            zip(runs.k1.tolist(), runs.k2.tolist(), strict=True),
+            runs.start.tolist(),
+            strict=True,
+        ):
+            at = number.get(key)
+            if at is not None:
+                texts.setdefault(place, []).extend((start + a, start + b) for a, b in spans[at])
+        # Copies of a text give the same spans again.
+        merged = [[{"a": a, "b": b} for a, b in cut(b"", x)[1]] for x in texts.values()]
+        return pd.DataFrame({"k1": [k for k, _ in texts], "k2": [k for _, k in texts], "spans": merged})
+
+    return dealt.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInPandas(
+        look_up, "k1 BIGINT, k2 BIGINT, spans ARRAY<STRUCT<a: BIGINT, b: BIGINT>>"
     )
-    return placed.groupBy("k1", "k2").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
 
 def cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[tuple[int, int]]]:
@@ -292,15 +312,19 @@ def cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[tuple[in
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """All columns of ``docs`` plus ``kept`` (binary) and ``removed`` (merged
-    byte spans). Repeats are judged on the input, same text included; NULL
-    counts as empty; texts shorter than the window lose nothing."""
+    """All columns of ``docs`` plus ``kept`` (binary), ``left`` (the same as text,
+    of a character cut in two nothing) and ``removed`` (merged byte spans).
+    Repeats are judged on the input, same text included; NULL counts as empty;
+    texts shorter than the window lose nothing."""
     names = docs.columns
-    keyed = _with_keys(docs)
-    spans = stored(
-        repeated_spans(keyed.select("k1", "k2", whole_text().alias("text")), window), "text-spans"
+    text = whole_text()
+    keys = [F.xxhash64(text).alias("__k1"), F.xxhash64(F.lit(1), text).alias("__k2")]
+    keyed = docs.select(*names, *keys)
+    texts = keyed.select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), text.alias("text"))
+    spans = stored(repeated_spans(texts, window), "text-spans").select(
+        F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("spans").alias("__spans")
     )
-    joined = keyed.join(spans, ["k1", "k2"], "left").select(*names, "spans")
+    joined = keyed.join(spans, ["__k1", "__k2"], "left").select(*names, "__spans")
     at = names.index("text")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
     kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
@@ -316,28 +340,23 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 [
                     *batch.columns[:-1],
                     pa.array([d[0] for d in done], pa.binary()),
+                    pa.array([d[0].decode("utf-8", "ignore") for d in done], pa.string()),
                     pa.array([[{"a": a, "b": b} for a, b in d[1]] for d in done], kind),
                 ],
-                names=[*names, "kept", "removed"],
+                names=[*names, "kept", "left", "removed"],
             )
 
     return joined.mapInArrow(
-        run, ", ".join([*fields, "kept BINARY", "removed ARRAY<STRUCT<a: BIGINT, b: BIGINT>>"])
+        run, ", ".join([*fields, "kept BINARY", "left STRING", "removed ARRAY<STRUCT<a: BIGINT, b: BIGINT>>"])
     )
 
 
-def text_of(data: bytes | None) -> str:
-    """Text of bytes cut anywhere: what is left of a cut character goes too."""
-    return (data or b"").decode("utf-8", "ignore")
-
-
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with repeated passages taken out of ``text`` and ``n_chars``, if
     there, to match. NULL texts stay NULL; texts of which nothing is left stay
     as empty texts."""
     docs, own = set_aside(docs, "text", "n_chars")
-    left = F.udf(text_of, "string")("kept")
-    text = F.when(F.col("text").isNull() | (F.size("removed") == 0), F.col("text")).otherwise(left)
+    text = F.when(F.col("text").isNull() | (F.size("removed") == 0), F.col("text")).otherwise(F.col("left"))
     done = remove_repeats(docs, window).withColumn("text", text)
     if "n_chars" in own.values():
         done = done.withColumn("n_chars", F.length("text").cast("long"))
@@ -345,7 +364,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes removed from every document, and what is left.
+    """Bytes removed from every document, and what is left, also as text.
 
     One row per row of the table; NULL and empty texts have no bytes.
     """
@@ -360,4 +379,5 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         removed.alias("n_removed"),
         F.size("removed").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        F.col("left").alias("kept_text"),
     )
