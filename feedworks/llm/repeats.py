@@ -272,7 +272,7 @@ def spans_by_text(found: DataFrame, resolved: DataFrame, window: int) -> DataFra
     class_key = ["anchor", "c1", "c2"]
     buckets = 1 + found.count() // BUCKET_RUNS
     dealt = found.withColumn("bucket", F.pmod(F.xxhash64("k1", "k2"), F.lit(buckets)).cast("int"))
-    known = dealt.select("bucket", *class_key).distinct().join(resolved, class_key)
+    known = stored(dealt.select("bucket", *class_key).distinct().join(resolved, class_key), "bucket-spans")
 
     def look_up(runs: pd.DataFrame, classes: pd.DataFrame) -> pd.DataFrame:
         number = {key: i for i, key in enumerate(zip(*(classes[c].tolist() for c in class_key), strict=True))}
@@ -289,7 +289,8 @@ def spans_by_text(found: DataFrame, resolved: DataFrame, window: int) -> DataFra
                 texts.setdefault(place, []).extend((start + a, start + b) for a, b in spans[at])
         # Copies of a text give the same spans again.
         merged = [[{"a": a, "b": b} for a, b in cut(b"", x)[1]] for x in texts.values()]
-        return pd.DataFrame({"k1": [k for k, _ in texts], "k2": [k for _, k in texts], "spans": merged})
+        out = {"k1": [k for k, _ in texts], "k2": [k for _, k in texts], "spans": merged}
+        return pd.DataFrame(out, dtype=object).astype({"k1": "int64", "k2": "int64"})
 
     return dealt.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInPandas(
         look_up, "k1 BIGINT, k2 BIGINT, spans ARRAY<STRUCT<a: BIGINT, b: BIGINT>>"

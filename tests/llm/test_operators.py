@@ -286,6 +286,7 @@ def test_block_tables_find_all(spark):
 def test_repeats(spark, sf_dir, rows, window, monkeypatch):
     if window == 24:
         monkeypatch.setattr(repeats, "MOST_CLASSES", 2)
+        monkeypatch.setattr(repeats, "BUCKET_RUNS", 50)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = repeats.remove_repeats(docs, window).collect()
     texts = [(k, (t or "").encode()) for k, t, *_ in rows]
@@ -302,6 +303,35 @@ def test_repeats(spark, sf_dir, rows, window, monkeypatch):
     assert _sorted(got) == _sorted(want)
 
 
+def test_passage_stage_leaves_no_fifty_words_twice(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(21)
+
+    def prose(n):
+        return " ".join("".join(rnd.choices("abcdefgh", k=rnd.randint(2, 7))) for _ in range(n))
+
+    passages = [prose(55) for _ in range(6)]
+    texts = [f"{prose(40)} {passages[i % 6]} {prose(rnd.randint(0, 60))}" for i in range(40)] + [prose(200) for _ in range(10)]
+    texts += [None, "", "short", "é" * 150 + passages[0]]
+    rows = [(i, t, len(t or ""), 0) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING, n_chars LONG, k1 INT").repartition(3)
+    kept = {r.doc_id: r for r in corpus_pipeline.passage_dedup(spark, docs, "").collect()}
+    window, data = corpus_pipeline.PASSAGE_BYTES, [(t or "").encode() for t in texts]
+    seen = Counter(t[i : i + window] for t in data for i in range(len(t) - window + 1))
+    for k, t in enumerate(data):
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - window + 1):
+            if seen[t[i : i + window]] > 1:
+                gone[i : i + window] = True
+        left = np.frombuffer(t, np.uint8)[~gone].tobytes().decode("utf-8", "ignore")
+        assert (kept[k].text or "") == left and kept[k].n_chars == (None if texts[k] is None else len(left))
+    assert kept[50].text is None and all(kept[k].text == texts[k] for k in range(40, 50))
+    words = [tuple(r.text.split()) for r in kept.values() if r.text]
+    runs = Counter(x for w in words for x in {w[i : i + 50] for i in range(len(w) - 49)})
+    assert max(runs.values(), default=1) == 1
+
+
 def test_deep_shallow_order():
     from feedworks.llm.suffixsort import common_prefix, deep_shallow_sort
 
