@@ -44,13 +44,15 @@ def _redemptions(spark, args, layout):
 
 def _stream_members(spark, args, layout):
     stream_members(
-        spark, args.incoming, layout, args.checkpoint, args.as_of, args.now
+        spark, args.incoming, layout, args.checkpoint, args.as_of, args.now,
+        check_whole=args.check_whole,
     ).awaitTermination()
 
 
 def _stream_redemptions(spark, args, layout):
     stream_redemptions(
-        spark, args.incoming, layout, args.checkpoint, args.as_of, args.now
+        spark, args.incoming, layout, args.checkpoint, args.as_of, args.now,
+        check_whole=args.check_whole,
     ).awaitTermination()
 
 
@@ -96,6 +98,13 @@ JOBS = {
 }
 
 
+# Options without which a job cannot begin.
+NEEDED = {
+    "incoming": {"members", "redemptions", "stream-members", "stream-redemptions"},
+    "checkpoint": {"stream-members", "stream-redemptions"},
+}
+
+
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="feedworks")
     parser.add_argument("job", choices=JOBS)
@@ -112,6 +121,9 @@ def main(argv: list[str] | None = None) -> None:
         help="check key uniqueness of changed rows only",
     )
     args = parser.parse_args(argv)
+    for option, jobs in NEEDED.items():
+        if args.job in jobs and not getattr(args, option):
+            parser.error(f"{args.job} needs --{option}")
     args.now = dt.datetime.now(dt.timezone.utc)
     spark = tune(SparkSession.builder.appName(f"feedworks-{args.job}").getOrCreate())
     JOBS[args.job](spark, args, Layout(args.root))

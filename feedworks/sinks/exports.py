@@ -104,12 +104,15 @@ def finish_fan_out(spark: SparkSession, root: str) -> None:
 def register_segments(
     spark: SparkSession, root: str, segments: Sequence[Segment], columns: str
 ) -> None:
-    """External catalog tables over the segment folders."""
+    """External catalog tables over the segment folders; tables that are there
+    already, for another root, are pointed to this one."""
     for segment in segments:
+        place = quoted(segment_path(root, segment))
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {segment.table} ({columns}) "
-            f"USING parquet LOCATION {quoted(segment_path(root, segment))}"
+            f"USING parquet LOCATION {place}"
         )
+        spark.sql(f"ALTER TABLE {segment.table} SET LOCATION {place}")
         spark.catalog.refreshTable(segment.table)
 
 

@@ -1,5 +1,6 @@
 """The command line, end to end."""
 
+import pytest
 import sample_feeds as samples
 
 from feedworks.jobs import main
@@ -30,3 +31,13 @@ def test_jobs(spark, root, capsys):
     shown = capsys.readouterr().out
     assert "UNSUPPORTED_COUNTRY_CODE" in shown and "Bela" in shown
     assert Layout(f"{root}/out").member_target.read(spark).count() == 6
+
+
+@pytest.mark.parametrize(
+    "job", ["members", "redemptions", "stream-members", "stream-redemptions"]
+)
+def test_jobs_ask_for_what_they_need(job, root, capsys):
+    options = ["--incoming", f"{root}/in"] if job.startswith("stream") else []
+    with pytest.raises(SystemExit):
+        main([job, "--root", f"{root}/out", *options])
+    assert "needs --" in capsys.readouterr().err
