@@ -18,6 +18,7 @@ from feedworks.llm.shared import remainder, slices, table
 
 UNKNOWN = "und"
 DOCS_PER_LANGUAGE = 256
+SAMPLE_PARTS = 64
 CHARS_PER_DOC = 2048
 DICTIONARY_BYTES = 1 << 17
 MAX_LANGUAGES = 1000
@@ -32,42 +33,60 @@ def letters_only(text: Column) -> Column:
 
 
 def learn_dictionaries(docs: DataFrame) -> dict[str, bytes]:
-    """One dictionary for each value of ``lang``, most frequent language first.
+    """One dictionary for each of the ``MAX_LANGUAGES`` most frequent values of
+    ``lang``, most frequent first; others are not learned and never predicted.
 
     The sample is, for each language, the ``DOCS_PER_LANGUAGE`` distinct texts
-    with the smallest hash, each cut to ``CHARS_PER_DOC``; map tasks keep only
-    that many rows each before the shuffle. Rows without text or language, or
-    without letters, teach nothing.
+    with the smallest hash. Of each a piece is taken that begins anywhere in the
+    text, at a place its hash names, and all pieces of a language share
+    ``DICTIONARY_BYTES`` evenly, at most ``CHARS_PER_DOC`` characters each. Rows
+    without text or language, or without letters, teach nothing.
     """
     known = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select(
         "lang", F.xxhash64("text").alias("h")
     )
-    place = Window.partitionBy("lang").orderBy("h")
-    picked = (
-        known.groupBy("lang", "h").agg(F.count(F.lit(1)).alias("copies"))
-        .withColumn("place", F.row_number().over(place))
-        .filter(F.col("place") <= DOCS_PER_LANGUAGE)
-        .select("lang", "h")
-    )
+    # Parts of a language are cut first, so that the second cut sees few rows of
+    # it however many map tasks there are.
+    part = F.pmod("h", F.lit(SAMPLE_PARTS))
+    places = [Window.partitionBy("lang", part).orderBy("h"), Window.partitionBy("lang").orderBy("h")]
+    picked = known.groupBy("lang", "h").agg(F.count(F.lit(1)).alias("copies"))
+    for place in places:
+        picked = picked.withColumn("place", F.row_number().over(place)).filter(
+            F.col("place") <= DOCS_PER_LANGUAGE
+        )
     sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    counts = sizes.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES + 1).collect()
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
+    learned = sizes.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    counts = learned.collect()
+    picked = picked.join(learned, "lang", "left_semi").select("lang", "h")
+    letters = letters_only(F.col("text"))
+    span = F.greatest(F.length("letters") - CHARS_PER_DOC, F.lit(0)) + 1
+    piece = F.substring("letters", F.pmod(F.shiftright("h", 8), span).cast("int") + 1, F.lit(CHARS_PER_DOC))
     sample = (
         docs.select("lang", "text", F.xxhash64("text").alias("h"))
         # At most MAX_LANGUAGES * DOCS_PER_LANGUAGE rows of two short values.
         .join(F.broadcast(picked), ["lang", "h"])
+        .select("lang", "h", letters.alias("letters"))
         .groupBy("lang", "h")
-        .agg(F.min(F.substring(letters_only(F.col("text")), 1, CHARS_PER_DOC)).alias("t"))
+        .agg(F.min(piece).alias("t"))
         .orderBy("lang", "h")
     )
-    texts: dict[str, list[str]] = {row.lang: [] for row in counts}
+    texts: dict[str, list[bytes]] = {row.lang: [] for row in counts}
     for row in sample.toLocalIterator():
-        texts[row.lang].append(row.t)
-    joined = {lang: " ".join(parts).encode()[-DICTIONARY_BYTES:] for lang, parts in texts.items()}
+        texts[row.lang].append(row.t.encode())
+    joined = {lang: b" ".join(_shared(parts)) for lang, parts in texts.items()}
     return {lang: data for lang, data in joined.items() if len(data) >= 8}
 
 
+def _shared(parts: list[bytes]) -> list[bytes]:
+    """The parts, each cut to the same number of bytes where DICTIONARY_BYTES is
+    not enough for all; what short ones leave goes to the others."""
+    room, cuts = DICTIONARY_BYTES - len(parts), {}
+    for left, part in zip(range(len(parts), 0, -1), sorted(parts, key=len), strict=True):
+        cuts[part] = min(len(part), max(room, 0) // left)
+        room -= cuts[part]
+    return [part[: cuts[part]] for part in parts]
+
+
 def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     content = zstandard.ZstdCompressionDict(
         dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT
