@@ -44,12 +44,11 @@ def usable(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def choose_pivots(classes: DataFrame) -> dict[int, np.ndarray]:
-    """Reference points for each vector length: the distinct vectors with the
-    smallest hashes, as many as the square root of all of them, at least
-    LEAST_PIVOTS and at most MOST_PIVOTS."""
-    sizes = dict(classes.groupBy("dim").count().limit(MAX_DIMENSIONS + 1).collect())
-    if len(sizes) > MAX_DIMENSIONS:
-        raise ValueError(f"more than {MAX_DIMENSIONS} vector lengths")
+    """Reference points for each of the MAX_DIMENSIONS most frequent vector
+    lengths: the distinct vectors with the smallest hashes, as many as the square
+    root of all of them, at least LEAST_PIVOTS and at most MOST_PIVOTS."""
+    lengths = classes.groupBy("dim").count()
+    sizes = dict(lengths.orderBy(F.desc("count"), "dim").limit(MAX_DIMENSIONS).collect())
     hashed = classes.select("dim", "node", F.xxhash64("embedding").alias("h"), "embedding")
     pivots: dict[int, np.ndarray] = {}
     for dim, n in sizes.items():
@@ -77,7 +76,9 @@ def permutations(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 def describe(classes: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
-    """Add ``named``, the ordered nearest pivots. The pivots are bounded."""
+    """Add ``named``, the ordered nearest pivots. The pivots are bounded: vectors
+    of a length that has none name one point, 0, and so meet all of their length,
+    tile by tile."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in classes.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,6 +88,10 @@ def describe(classes: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
             named: list = [None] * batch.num_rows
             for dim in np.unique(dims):
                 rows = np.flatnonzero(dims == dim)
+                if int(dim) not in pivots:
+                    for row in rows:
+                        named[row] = [0]
+                    continue
                 own = column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False)
                 vectors = unit(own.astype(float).reshape(len(rows), dim))
                 for row, order in zip(rows, permutations(vectors, pivots[int(dim)]), strict=True):
