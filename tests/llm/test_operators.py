@@ -116,6 +116,59 @@ def test_language_model_base(spark, sf_dir, rows):
     assert all(r.score < 0 and math.isfinite(r.score) for r in found)
 
 
+def test_more_languages_than_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 2)
+    texts = {"en": "the house and the garden", "de": "das haus und der garten", "fr": "la maison et le jardin"}
+    rows = [(i, f"{t} {i}", lang) for lang, t in texts.items() for i in range(9 if lang == "fr" else 12)]
+    found = langid.learn_dictionaries(spark.createDataFrame(rows, "doc_id LONG, text STRING, lang STRING"))
+    assert list(found) == ["de", "en"]
+
+
+def test_dictionaries_take_pieces_from_anywhere(spark, monkeypatch):
+    monkeypatch.setattr(langid, "CHARS_PER_DOC", 40)
+    monkeypatch.setattr(langid, "DOCS_PER_LANGUAGE", 5)
+    monkeypatch.setattr(langid, "SAMPLE_PARTS", 3)
+    words = ["".join(chr(97 + (i * k) % 26) for k in range(1, 6)) for i in range(200)]
+    rows = [(i, " ".join(words[(i + k) % 200] for k in range(150)), "xx") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING, lang STRING").repartition(5)
+    ranked = sorted(docs.select("text", F.xxhash64("text").alias("h")).collect(), key=lambda r: r.h)[:5]
+    want = [r.text[(r.h >> 8) % (len(r.text) - 39) :][:40].encode() for r in ranked]
+    assert langid.learn_dictionaries(docs) == {"xx": b" ".join(want)}
+    monkeypatch.setattr(langid, "DICTIONARY_BYTES", 54)
+    assert 45 < len(langid.learn_dictionaries(docs)["xx"]) <= 54
+    assert [len(x) for x in langid._shared([b"a" * 30, b"b" * 2, b"c" * 40])] == [24, 2, 25]
+
+
+def test_class_model_shares_its_probability(spark):
+    rnd = random.Random(9)
+    texts = [" ".join("".join(rnd.choices("abc", k=rnd.randint(1, 4))) for _ in range(60)) for _ in range(30)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text STRING")
+    counts = brown.count_words(docs)
+    vocabulary = brown.Vocabulary(counts.collect())
+    none = spark.createDataFrame([], "word BINARY, c BIGINT")
+    model = brown.ClassModel(vocabulary, brown.count_pairs(docs, vocabulary), brown.rare_totals(none), len(texts))
+    classes = model.member[vocabulary.items]
+    for k in set(classes.tolist()):
+        seen = (10 ** model.words[classes == k]).sum() + (10**model.end if model.member[brown.END] == k else 0)
+        assert seen + 10 ** model.unseen[k] == pytest.approx(1)
+    assert (10**model.moves).sum(1) == pytest.approx(1)
+    letters = brown.spelling(counts)
+    assert (10**letters).sum(1) == pytest.approx(1)
+    got = brown.spell([b"ab", b"", b"cab"], letters)
+    steps = [[(10, 97), (97, 98), (98, 10)], [(10, 10)], [(10, 99), (99, 97), (97, 98), (98, 10)]]
+    assert got == pytest.approx([sum(letters[a, b] for a, b in way) for way in steps])
+
+
+def test_words_not_seen_are_less_likely(spark):
+    rnd = random.Random(10)
+    known = ["".join(rnd.choices("abcdef", k=5)) for _ in range(80)]
+    rows = [(i, " ".join(rnd.choices(known, k=40)), False) for i in range(60)]
+    rows += [(100, known[0], True), (101, "fedcb", True), (102, " ".join(known[:20]), True), (103, "zq" * 9, True)]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING, held_out BOOLEAN")
+    score = {r.doc_id: r.score for r in brown.score_documents(docs).collect()}
+    assert score[100] > score[101] > score[103]
+
+
 def test_exchange_ends_where_no_move_helps():
     rnd = np.random.default_rng(6)
     pairs = rnd.integers(0, 9, (14, 14)) * (1.0 + 30 * (np.arange(14)[:, None] % 3 == np.arange(14) % 3))
@@ -136,7 +189,6 @@ def test_exchange_ends_where_no_move_helps():
 
 def test_token_files(spark, sf_dir, rows):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
     got = {r.start: r for r in tokenfiles.op3_token_id_files(spark, sf_dir).collect()}
     assert len(got) == len(rows)
@@ -242,6 +294,20 @@ def test_pivots_without_a_window(spark, monkeypatch):
         assert np.allclose(got[dim], pivots.unit(want))
 
 
+def test_vectors_of_many_lengths(spark):
+    rnd = np.random.default_rng(13)
+    rows = []
+    for dim in range(1, 21):
+        for k in range(6):
+            base = rnd.normal(size=dim) if k % 2 == 0 else base + 0.05 * rnd.normal(size=dim)
+            rows.append((len(rows), [float(x) for x in base], 0))
+    data = spark.createDataFrame(rows, "vec_id LONG, embedding ARRAY<FLOAT>, label INT")
+    unit = [np.array(v, np.float32).astype(float) / np.linalg.norm(np.array(v, np.float32).astype(float)) for _, v, _ in rows]
+    want = {k: sum(o != k and len(unit[o]) == len(v) and v @ unit[o] >= 0.93 for o in range(len(unit))) for k, v in enumerate(unit)}
+    got = {r.vec_id: r.n_links for r in pivots.near_vectors(data).collect()}
+    assert got == want and sum(want.values()) > 40
+
+
 def test_byte_bpe(spark, sf_dir, rows):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
