@@ -549,6 +549,14 @@ ORACLE: dict[str, str] = {
              strftime(flight_dt, '%Y-%m-%d') AS "Date of Flight"
            FROM members WHERE country_code = 'AUS'""",
     ),
+    "export_dispatch": _with(
+        LATEST_MEMBERS,
+        """SELECT country, outcome, CAST(count(mem_id) AS BIGINT) AS row_count
+           FROM (VALUES ('usa', 'written', 'USA'), ('india', 'written', 'IND'),
+                   ('australia', 'written', 'AUS'), ('philippines', 'skipped', ''))
+                AS agreed(country, outcome, code)
+           LEFT JOIN members ON country_code = code GROUP BY ALL""",
+    ),
     "partitioned_roundtrip": """
         SELECT c_custkey, c_name, c_mktsegment, c_nationkey FROM customer""",
     "member_ingest": _with(LATEST_MEMBERS, "SELECT * FROM members"),

@@ -537,6 +537,30 @@ def export_australia(spark, sf_dir):
     return _exported(spark, sf_dir, segments.SEGMENTS[2])
 
 
+@query
+def export_dispatch(spark, sf_dir):
+    """The files of all countries, and the countries that have none agreed."""
+    root = scratch_path(spark, "dispatch")
+    write_partitioned(_latest_members(spark, sf_dir), f"{root}/members", "country_code")
+    held = read_table(spark, f"{root}/members", contracts.MEMBER_TARGET)
+    skipped = segments.write_country_files(held, f"{root}/files")
+    counts = []
+    for segment in segments.SEGMENTS:
+        way, rows = "skipped", spark.range(1).select(F.lit(0).cast("bigint").alias("n"))
+        if segment.name not in skipped:
+            path = f"{root}/files/{segment.table}.csv"
+            written = spark.read.option("header", True).csv(path)
+            way, rows = "written", written.agg(F.count(F.lit(1)).alias("n"))
+        counts.append(
+            rows.select(
+                F.lit(segment.name).alias("country"),
+                F.lit(way).alias("outcome"),
+                F.col("n").alias("row_count"),
+            )
+        )
+    return reduce(DataFrame.unionByName, counts)
+
+
 # --- storage ----------------------------------------------------------------------
 
 

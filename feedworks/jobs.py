@@ -81,10 +81,19 @@ def _tables(spark, args, layout):
     create_profile_view(spark)
 
 
+def _compact(spark, args, layout):
+    for target in (layout.member_target, layout.redemption_target):
+        if target.exists(spark):
+            print(f"{target.name}: {target.compact(spark, SMALL_FILE)} files rewritten")
+
+
 def _smoke(spark, args, layout):
     storage_check(spark, f"{layout.root}/smoke").show(truncate=False)
 
 
+# Files below a quarter of a usual block are written together.
+SMALL_FILE = 32 << 20
+
 JOBS = {
     "members": _members,
     "redemptions": _redemptions,
@@ -94,6 +103,7 @@ JOBS = {
     "reports": _reports,
     "profile": _profile,
     "tables": _tables,
+    "compact": _compact,
     "smoke": _smoke,
 }
 

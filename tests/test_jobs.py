@@ -25,6 +25,8 @@ def test_jobs(spark, root, capsys):
     finally:
         spark.catalog.setCurrentDatabase("default")
         spark.sql("DROP DATABASE jobs_db CASCADE")
+    main(["compact", *at])
+    assert "member_profile_target" in capsys.readouterr().out
     main(["reports", *at])
     main(["profile", *at])
     main(["smoke", *at])

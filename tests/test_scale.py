@@ -26,6 +26,7 @@ WRITING = {
     "redemption_ingest", "stream_available_now", "ingest_member_files",
     "ingest_redemption_files", "stream_redemptions_merge", "uniqueness_gate",
     "profile_view", "country_tables", "quarantine_evolution",
+    "export_dispatch",
 }
 
 
