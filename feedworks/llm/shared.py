@@ -24,6 +24,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Paths that ``stored`` has written in this process, for ``drop_steps``.
+STEPS: list[str] = []
+
+
+def drop_steps(spark: SparkSession, paths: list[str], needed_by: DataFrame) -> None:
+    """Delete stored steps that ``needed_by`` does not read."""
+    read = needed_by.inputFiles()
+    for path in paths:
+        if not any(f"/{path.rsplit('/', 1)[-1]}/" in name for name in read):
+            delete(spark, path)
+
+
 def stored(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back.
 
@@ -33,6 +45,7 @@ def stored(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = path or scratch_path(spark, label)
     df.write.mode("overwrite").parquet(path)
+    STEPS.append(path)
     atexit.register(_forget, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
