@@ -703,7 +703,7 @@ def stream_redemptions_merge(spark, sf_dir):
     layout, incoming = Layout(f"{root}/tables"), f"{root}/in coming"
     deliver(feed_files(spark, sf_dir), f"{root}/sent")
     # A few batches, whatever the number of files.
-    several = max(1, len(file_names(spark, f"{root}/sent")) // 8)
+    several = max(1, len(file_names(spark, f"{root}/sent")) // 5)
     for second in (False, True):
         arrive(spark, f"{root}/sent", incoming, second)
         stream_redemptions(
