@@ -372,6 +372,27 @@ def test_streams_give_the_same_tables(spark, root):
     )
 
 
+def test_streams_read_files_with_odd_names_once(spark, root):
+    layout = Layout(f"{root}/out")
+    Path(root, "in").mkdir()
+    names = ("a[1] {x}", "b[1] {x}", "c*", "d")
+    for name in names:
+        Path(root, "in", f"{name}_20240201.txt").write_text("|X|\n")
+        Path(root, "in", f"{name}.json").write_text('{"member_id": "A"}')
+    stream_members(
+        spark, f"{root}/in", layout, f"{root}/members", AS_OF, run_at(1)
+    ).awaitTermination()
+    assert layout.member_raw.read(spark).count() == len(names)
+    assert layout.member_quarantine.read(spark).count() == len(names)
+    for _ in range(2):
+        stream_redemptions(
+            spark, f"{root}/in", layout, f"{root}/feeds", AS_OF, run_at(1), max_files=3
+        ).awaitTermination()
+    rejected = layout.redemption_quarantine.read(spark)
+    assert rejected.count() == len(names)
+    assert rejected.select("batch_id").distinct().count() == 2
+
+
 def test_layers_have_the_agreed_columns(spark, members_done):
     layout, _ = members_done
     for layer in (layout.member_raw, layout.member_quarantine, layout.member_ledger):
