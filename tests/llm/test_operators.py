@@ -64,6 +64,7 @@ def empty_dir(spark, sf_dir, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("none"))
     for name in ("documents", "labels", "embeddings"):
         spark.read.parquet(f"{sf_dir}/{name}.parquet").limit(0).write.parquet(f"{path}/{name}.parquet")
+    spark.createDataFrame([], "item_id BIGINT, text STRING").write.parquet(f"{path}/benchmark.parquet")
     return path
 
 

@@ -155,7 +155,9 @@ def test_fan_out_is_one_write_without_shuffle(spark, root):
     assert sorted(map(tuple, stored.collect())) == [(1, "A", "a"), (2, "B", "b")]
 
 
-def test_a_small_batch_does_not_shuffle_the_held_table(spark, root):
+def test_a_small_batch_does_not_shuffle_the_held_table(spark, root, settings):
+    # Plans cut off paths that are longer than this.
+    settings(maxMetadataStringLength="1000")
     columns = "k BIGINT, day INT, payload STRING, p STRING"
     target = Target("t", f"{root}/t", columns, ("k",), lambda c: [c("day")], "p")
     held = spark.range(20000).select(
