@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from feedworks.catalogue import derived
-from feedworks.catalogue.queries import all_queries
+from feedworks.catalogue.queries import _in_two_runs, all_queries
 from feedworks.operators.enrich import enrich_with_dimension
 from feedworks.operators.latest import latest_per_key, newest_first
 from feedworks.operators.quality import duplicate_keys
@@ -216,3 +216,26 @@ def test_feeds_and_transactions_are_checked_in_one_pass(spark, root):
         own = checked.filter(F.col("level") == level)
         assert own.filter(is_rejected()).count() == part.invalid.count() > 0
         assert own.filter(~is_rejected()).count() == part.valid.count() > 0
+
+
+def test_a_filter_on_the_feed_date_is_worked_out_before_the_join(spark):
+    feeds = derived.redemption_feeds(spark, SF_DIR)
+    for part in _in_two_runs(feeds, F.to_date("feed_date", "yyyyMMdd")):
+        joins = [line for line in plan(part).splitlines() if "Join" in line]
+        assert len(joins) == 1 and "2) = 1" not in joins[0]
+
+
+def test_feeds_are_derived_in_methods_the_jvm_compiles(spark, settings):
+    settings(**{"adaptive.enabled": "false"})
+    dated = redemptions.date_feeds(derived.redemption_feeds(spark, SF_DIR))
+    text = spark._jvm.PythonSQLUtils.explainString(dated._jdf.queryExecution(), "codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text)]
+    assert sizes and max(sizes) < 8000
+
+
+def test_days_are_written_as_the_formatter_does(spark):
+    texts = ["0999-02-28", "1000-01-01", "1996-02-29", "9999-12-31", None]
+    days = spark.createDataFrame([(t,) for t in texts], "t string").select(F.to_date("t").alias("d"))
+    days = days.unionByName(spark.sql("SELECT date_add(DATE'9999-12-31', 1) AS d"))
+    rows = days.select(derived._day(F.col("d")), F.date_format("d", "yyyyMMdd")).collect()
+    assert len(rows) == 6 and all(day == formatted for day, formatted in rows)
