@@ -1,10 +1,12 @@
 """Language-model scores from a Brown class-based bigram model.
 
 Exchange clustering puts words into classes; a text's probability is the product
-of class transitions and of words within their class. The most frequent words
-move between classes one by one, rarer words together with all that share their
-ending. Counts of all words are exact and kept in a stored table; only counts of
-bounded size reach the driver.
+of class transitions and of words within their class. It starts on the driver
+from the most frequent words and groups of the others by ending. Then every word
+of the training texts moves by itself in Spark: the words of the broadcast
+vocabulary in passes over their neighbours' counts, the words beyond it in one
+pass over theirs. Counts of all words are exact and kept in a stored table; only
+counts of bounded size reach the driver.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,8 +32,13 @@ END = OWN_ITEMS + ENDINGS
 ITEMS = END + 1
 CLASSES = 64
 ROUNDS = 8
+PASSES = 2
+FEWER_AT_ONCE = 4
 LOOKED_UP = 1 << 17
 COUNTED_AT_ONCE = 1 << 19
+SCANNED_AT_ONCE = 1 << 21
+GROUPED_AT_ONCE = 1 << 15
+MOVED_AT_ONCE = 64
 ADDED = 0.1
 PRIOR = 5.0
 UNSEEN = 0.5
@@ -80,7 +88,10 @@ def most_frequent(counts: DataFrame, distinct: int) -> list:
 
 class Vocabulary:
     """The most frequent words with their counts, at most LOOKED_UP of them; the
-    first OWN_ITEMS are items of their own."""
+    first OWN_ITEMS are items of their own.
+
+    Ids name its words by place, then the endings of other words, then the end.
+    """
 
     def __init__(self, rows: list):
         self.place = {bytes(row.word): i for i, row in enumerate(rows)}
@@ -88,42 +99,84 @@ class Vocabulary:
         self.items = np.array(
             [i if i < OWN_ITEMS else ending(bytes(row.word)) for i, row in enumerate(rows)], np.int64
         )
-
-    def items_of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Place (-1 if not among them) and item of each word."""
-        places = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
-        items = np.empty(len(words), np.int64)
-        known = places >= 0
-        items[known] = self.items[places[known]]
-        for i in np.flatnonzero(~known).tolist():
-            items[i] = ending(words[i])
-        return places, items
-
-
-def count_pairs(texts: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
-    """How often item v follows item u, with END before and after every text.
-    Tasks and driver hold ITEMS * ITEMS numbers, whatever the input."""
+        self.size = len(rows)
+        self.end = self.size + ENDINGS
+        self.item_of_id = np.concatenate([self.items, np.arange(OWN_ITEMS, ITEMS)])
+
+    def ids_of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Id of each word, and which words are not among them."""
+        ids = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        others = np.flatnonzero(ids < 0)
+        for i in others.tolist():
+            ids[i] = self.size + ending(words[i]) - OWN_ITEMS
+        return ids, others
+
+
+def neighbours(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """What stands side by side, the end before and after every text, in two kinds
+    of rows: ``n`` times the ids of ``pair``, added up in part; and each occurrence
+    of a word that is not in the vocabulary, with its hash as ``key``, its id
+    ``own``, the ids ``left`` and ``right``, and in ``next`` the hash of the word
+    after it, if that is not in the vocabulary either."""
+    size, end = vocabulary.size, vocabulary.end
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+    names = ["pair", "n", "key", "own", "left", "right", "next"]
+
+    def answer(parts: list[np.ndarray], hashes: list[int]) -> Iterator[pa.RecordBatch]:
+        line = np.concatenate(parts)
+        pairs, n = np.unique(line[:-1] * (end + 1) + line[1:], return_counts=True)
+        columns = [pa.array(pairs), pa.array(n)] + [pa.nulls(len(n), k) for k in kinds[2:]]
+        yield pa.RecordBatch.from_arrays(columns, names=names)
+        at = np.flatnonzero((line >= size) & (line < end))
+        if len(at):
+            keys = np.array(hashes, np.uint64).view(np.int64)
+            adjacent = np.append(np.diff(at) == 1, False)
+            columns = [pa.nulls(len(at), k) for k in kinds[:2]] + [pa.array(keys)]
+            columns += [pa.array(line[at + d], pa.int32()) for d in (0, -1, 1)]
+            columns.append(pa.array(np.roll(keys, -1), mask=~adjacent))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = np.zeros(ITEMS * ITEMS, np.int64)
+        limit = np.array([end])
+        parts, hashes, held = [limit], [], 0
         for batch in slices(batches, 64):
-            parts = [np.array([END])]
             for data in as_bytes(batch.column(0)):
-                parts += [vocabulary.items_of(words_of(data))[1], np.array([END])]
-            line = np.concatenate(parts)
-            pairs += np.bincount(line[:-1] * ITEMS + line[1:], minlength=ITEMS * ITEMS)
-        seen = np.flatnonzero(pairs)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(seen, pa.int32()), pa.array(pairs[seen])], names=["pair", "n"]
-        )
-
-    summed = (
-        texts.select("text").mapInArrow(run, "pair INT, n BIGINT").groupBy("pair").agg(F.sum("n").alias("n"))
+                words = words_of(data)
+                ids, others = vocabulary.ids_of(words)
+                parts += [ids, limit]
+                hashes += [xxhash.xxh64_intdigest(words[i], 42) for i in others.tolist()]
+                held += len(words) + 1
+            if held >= SCANNED_AT_ONCE:
+                yield from answer(parts, hashes)
+                parts, hashes, held = [limit], [], 0
+        if held:
+            yield from answer(parts, hashes)
+
+    return texts.select("text").mapInArrow(
+        run, "pair BIGINT, n BIGINT, key BIGINT, own INT, left INT, right INT, next BIGINT"
     )
-    result = np.zeros(ITEMS * ITEMS)
-    found = summed.toArrow()
-    result[found.column("pair").to_numpy()] = found.column("n").to_numpy()
-    return result.reshape(ITEMS, ITEMS)
+
+
+def _added_up(df: DataFrame, run, size: int) -> np.ndarray:
+    """The sum over all tasks of the numbers that ``run`` gives for their batches."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            at, n = run(batch)
+            np.add.at(total, at, n)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen])], names=["at", "n"])
+
+    found = df.mapInArrow(task, "at INT, n BIGINT").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    result = np.zeros(size)
+    result[found.column("at").to_numpy()] = found.column("n").to_numpy()
+    return result
+
+
+def count_pairs(texts: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
+    """How often item v follows item u, with END before and after every text."""
+    return class_table(contexts(neighbours(texts, vocabulary), vocabulary), vocabulary.item_of_id, ITEMS)
 
 
 def rare_totals(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
@@ -236,103 +289,440 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) ->
     return member
 
 
+def _f(x: np.ndarray) -> np.ndarray:
+    """x * log(x) of whole numbers; none of its terms for 0 and 1."""
+    x = np.maximum(x, 1.0)
+    return x * np.log(x)
+
+
+def _line_gains(table_: np.ndarray, after: np.ndarray, before: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """For each word and class, what the class's line of ``table_`` gains if the
+    word leaves its own class and joins that one, the corner left out."""
+    classes = len(table_)
+    result = np.zeros(after.shape)
+    word, other = np.nonzero(after)
+    if not len(word):
+        return result
+    n, from_ = after[word, other], own[word]
+    # Many words have the same count beside the same class.
+    same, at = np.unique(n.astype(np.int64) * classes + other, return_inverse=True)
+    cells = table_[:, same % classes].T
+    gains = (_f(cells + (same // classes)[:, None]) - _f(cells))[at]
+    each = np.arange(len(word))
+    gains[each, from_] = _f(table_[from_, other]) - _f(table_[from_, other] - n)
+    mine = np.flatnonzero(other == from_)
+    cells = table_[:, from_[mine]].T - before[word[mine]]
+    gains[mine] = _f(cells + n[mine, None]) - _f(cells)
+    gains[each, other] = 0
+    starts = np.flatnonzero(np.diff(word, prepend=-1))
+    result[word[starts]] = np.add.reduceat(gains, starts)
+    return result
+
+
+def best_classes(
+    table_: np.ndarray, after: np.ndarray, before: np.ndarray, twice: np.ndarray, own: np.ndarray
+) -> np.ndarray:
+    """The class that raises the likelihood of ``table_`` most for each word if it
+    alone moves there. ``after`` and ``before`` count its neighbours by class,
+    ``twice`` how often it follows itself, in neither of them."""
+    gain = _line_gains(table_, after, before, own) + _line_gains(table_.T, before, after, own)
+    both = after + before + twice[:, None]
+    word, k = np.nonzero(both)
+    n = both[word, k]
+    corner = table_[k, k] - np.where(k == own[word], n, 0)
+    gain[word, k] += _f(corner + n) - _f(corner)
+    each = np.arange(len(own))
+    for side, total in ((table_.sum(1), after.sum(1) + twice), (table_.sum(0), before.sum(1) + twice)):
+        totals, at = np.unique(total, return_inverse=True)
+        lost = (_f(side + totals[:, None]) - _f(side))[at]
+        lost[each, own] = _f(side[own]) - _f(side[own] - total)
+        gain -= lost
+    best = gain.argmax(1)
+    return np.where(gain[each, best] > gain[each, own] + 1e-9, best, own)
+
+
+def _move(table_: np.ndarray, after: np.ndarray, before: np.ndarray, twice: np.ndarray, own: np.ndarray, best: np.ndarray) -> None:
+    """Note in ``table_`` that words went from ``own`` to ``best``."""
+    moved = np.flatnonzero(own != best)
+    if len(moved):
+        change = np.zeros((len(moved), len(table_)))
+        each = np.arange(len(moved))
+        change[each, best[moved]] += 1
+        change[each, own[moved]] -= 1
+        table_ += change.T @ after[moved] + before[moved].T @ change + np.diag(twice[moved] @ change)
+
+
+def likelihood(table_: np.ndarray) -> float:
+    """Of the class transitions, as far as classes can change it."""
+    return float(_f(table_).sum() - _f(table_.sum(0)).sum() - _f(table_.sum(1)).sum())
+
+
+def _whole_keys(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    """Batches sorted by their first column, put together so that no key is cut."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= size:
+            found = pa.Table.from_batches(held)
+            keys = found.column(0).to_numpy()
+            ready = int(np.searchsorted(keys, keys[-1]))
+            if ready:
+                yield found.slice(0, ready)
+                held, rows = found.slice(ready).to_batches(), rows - ready
+    if rows:
+        yield pa.Table.from_batches(held)
+
+
+def contexts(side_by_side: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """One row for each id: the ids ``near`` it and how often, ``n``, below zero
+    for those before it. A row holds no more than two numbers for each id."""
+    ids = F.lit(vocabulary.end + 1)
+    pairs = side_by_side.filter("pair IS NOT NULL").groupBy("pair").agg(F.sum("n").alias("n"))
+    u, v = F.floor(F.col("pair") / ids).cast("int"), F.pmod("pair", ids).cast("int")
+    sides = [
+        F.struct(u.alias("key"), v.alias("near"), F.col("n")),
+        F.struct(v.alias("key"), u.alias("near"), (-F.col("n")).alias("n")),
+    ]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_keys(batches, GROUPED_AT_ONCE):
+            keys, near, n = (rows.column(i).to_numpy() for i in range(3))
+            starts = np.flatnonzero(np.diff(keys, prepend=-1))
+            offsets = pa.array(np.append(starts, len(keys)), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (near, n)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[starts]), *lists], names=["key", "near", "n"])
+
+    return (
+        pairs.select(F.explode(F.array(*sides)).alias("r")).select("r.*")
+        .repartition("key").sortWithinPartitions("key")
+        .mapInArrow(run, "key INT, near ARRAY<INT>, n ARRAY<BIGINT>")
+    )
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Keys, then for every number in their lists its row, ``near`` and ``n``."""
+    near, n = batch.column(1), batch.column(2)
+    sizes = np.diff(near.offsets.to_numpy())
+    return (
+        batch.column(0).to_numpy(), np.repeat(np.arange(len(sizes)), sizes),
+        near.flatten().to_numpy(), n.flatten().to_numpy(),
+    )
+
+
+def class_table(found: DataFrame, member: np.ndarray, classes: int) -> np.ndarray:
+    """How often an id of one class follows one of another; ids of no class,
+    ``classes``, are left out."""
+
+    def run(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        keys, row, near, n = _flat(batch)
+        some = n > 0
+        return member[keys[row[some]]] * (classes + 1) + member[near[some]], n[some]
+
+    counted = _added_up(found, run, (classes + 1) ** 2)
+    return counted.reshape(classes + 1, classes + 1)[:classes, :classes]
+
+
+def exchange_ids(found: DataFrame, member: np.ndarray, table_: np.ndarray) -> np.ndarray:
+    """Every id of ``found`` moves to its best class, in as many tasks as that has.
+    A task sees its own moves, and the others as they were before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own_table, classes = member.copy(), table_.copy(), len(table_)
+        for batch in slices(batches, MOVED_AT_ONCE):
+            keys, row, near, n = _flat(batch)
+            itself = near == keys[row]
+            after, before = (
+                np.bincount(row[s] * classes + now[near[s]], abs(n[s]), len(keys) * classes).reshape(-1, classes)
+                for s in ((n > 0) & ~itself, (n < 0) & ~itself)
+            )
+            s = itself & (n > 0)
+            twice = np.bincount(row[s], n[s], len(keys))
+            own = now[keys]
+            best = best_classes(own_table, after, before, twice, own)
+            _move(own_table, after, before, twice, own, best)
+            now[keys] = best
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(best, pa.int32())], names=["key", "class"])
+
+    moved = found.mapInArrow(run, "key INT, class INT").toArrow()
+    result = member.copy()
+    result[moved.column("key").to_numpy()] = moved.column("class").to_numpy()
+    return result
+
+
+def exchange_others(side_by_side: DataFrame, vocabulary: Vocabulary, member: np.ndarray, table_: np.ndarray) -> DataFrame:
+    """One pass over the words that are not in the vocabulary, from the classes of
+    their endings, ``start``: ``key``, ``class`` and ``next``, the keys of the words
+    after it that are not in the vocabulary either. Rows without a key hold in ``next``
+    how often classes follow each other where one of both words is in the vocabulary."""
+    classes, size, end = len(table_), vocabulary.size, vocabulary.end
+    names = ["key", "start", "class", "next"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_table = table_.copy()
+        cells = np.zeros(classes * classes, np.int64)
+        for rows in _whole_keys(batches, GROUPED_AT_ONCE):
+            keys, ids, left, right = (rows.column(i).to_numpy() for i in range(4))
+            follows = rows.column(4).combine_chunks()
+            other = follows.is_valid().to_numpy(zero_copy_only=False)
+            follows = follows.fill_null(0).to_numpy()
+            first = np.append(True, keys[1:] != keys[:-1])
+            starts, row = np.flatnonzero(first), np.cumsum(first) - 1
+            own = member[ids[starts]]
+            itself = other & (follows == keys)
+            twice = np.bincount(row[itself], minlength=len(starts)).astype(float)
+            after, before = (
+                np.bincount(row * classes + member[x], minlength=len(starts) * classes).reshape(-1, classes).astype(float)
+                for x in (right, left)
+            )
+            for x in (after, before):
+                x[np.arange(len(own)), own] -= twice
+            best = best_classes(own_table, after, before, twice, own)
+            _move(own_table, after, before, twice, own, best)
+            known = (left < size) | (left == end)
+            cells += np.bincount(member[left[known]] * classes + best[row[known]], minlength=len(cells))
+            cells += np.bincount(best[row[~other]] * classes + member[right[~other]], minlength=len(cells))
+            offsets = np.append(0, np.cumsum(np.bincount(row[other], minlength=len(starts))))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(keys[starts]), pa.array(own, pa.int32()), pa.array(best, pa.int32()),
+                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(follows[other])),
+                ],
+                names=names,
+            )
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int32()),
+                pa.array([cells.tolist()], pa.list_(pa.int64())),
+            ],
+            names=names,
+        )
+
+    return (
+        side_by_side.filter("key IS NOT NULL").select("key", "own", "left", "right", "next")
+        .repartition("key").sortWithinPartitions("key")
+        .mapInArrow(run, "key BIGINT, start INT, class INT, next ARRAY<BIGINT>")
+    )
+
+
+def word_classes(training: DataFrame, vocabulary: Vocabulary, passes: int = PASSES) -> tuple[np.ndarray, np.ndarray, DataFrame]:
+    """Class of every id, how often classes follow each other, and ``key``,
+    ``class`` of the words that are not in the vocabulary.
+
+    Tasks do not see each other's moves. Moves of the vocabulary's words that do
+    not raise the likelihood together are undone, and if none did, fewer words move
+    at once in the next pass. The pass over the other words is undone if it does
+    not raise the likelihood; their classes are then those of their endings.
+    """
+    side_by_side = stored(neighbours(training, vocabulary), "word-neighbours")
+    found = stored(contexts(side_by_side, vocabulary), "word-contexts")
+    pairs = class_table(found, vocabulary.item_of_id, ITEMS)
+    member = exchange(pairs)
+    one_hot = np.eye(CLASSES)[member]
+    table_ = one_hot.T @ pairs @ one_hot
+    member = member[vocabulary.item_of_id]
+    parts = 1
+    for _ in range(passes):
+        raised = False
+        for part in range(parts):
+            moved = exchange_ids(found.filter(F.col("key") % parts == part), member, table_)
+            if np.array_equal(moved, member):
+                continue
+            after = class_table(found, moved, CLASSES)
+            if likelihood(after) > likelihood(table_):
+                member, table_, raised = moved, after, True
+        if not raised:
+            parts *= FEWER_AT_ONCE
+    others = stored(exchange_others(side_by_side, vocabulary, member, table_), "word-moves")
+    own = others.filter("key IS NOT NULL").select("key", "class")
+    cells = others.filter("key IS NULL").select(F.posexplode("next").alias("at", "n"))
+    adjacent = (
+        others.filter("key IS NOT NULL").select(F.col("class").alias("u"), F.explode("next").alias("key"))
+        .join(own, "key").select((F.col("u") * CLASSES + F.col("class")).alias("at"), F.lit(1).cast("long").alias("n"))
+    )
+    apart = member.copy()
+    apart[vocabulary.size : vocabulary.end] = CLASSES
+    after = class_table(found, apart, CLASSES).ravel()
+    for row in cells.unionByName(adjacent).groupBy("at").agg(F.sum("n").alias("n")).collect():
+        after[row["at"]] += row.n
+    after = after.reshape(CLASSES, CLASSES)
+    if likelihood(after) > likelihood(table_):
+        return member, after, own
+    return member, table_, others.filter("key IS NOT NULL").select("key", F.col("start").alias("class"))
+
+
 class ClassModel:
     """Transitions between classes and words within them, all as log10.
 
     In a class the words seen and ``unseen``, the share of all others, add up to
     one; a word not seen has the part of that share that its spelling gives it.
+    ``pairs`` and ``rare`` count by item, or by class if ``classes`` gives the
+    class of each id.
     """
 
-    def __init__(self, vocabulary: Vocabulary, pairs: np.ndarray, rare: tuple, ends: int):
+    def __init__(
+        self, vocabulary: Vocabulary, pairs: np.ndarray, rare: tuple, ends: int, classes: np.ndarray | None = None
+    ):
         rare_n, rare_v, once, twice = rare
-        self.member = exchange(pairs)
-        one_hot = np.zeros((ITEMS, CLASSES))
-        one_hot[np.arange(ITEMS), self.member] = 1
-        moves = one_hot.T @ pairs @ one_hot
+        moves = pairs
+        if classes is None:
+            self.member = exchange(pairs)
+            one_hot = np.eye(CLASSES)[self.member]
+            moves, rare_n, rare_v = one_hot.T @ pairs @ one_hot, one_hot.T @ rare_n, one_hot.T @ rare_v
+            classes = self.member[vocabulary.item_of_id]
+        self.classes = classes
         share = (moves.sum(0) + 1) / (moves.sum() + CLASSES)
         self.moves = np.log10((moves + PRIOR * share) / (moves.sum(1, keepdims=True) + PRIOR))
-        # Taken from every word that is not an item of its own, given to unseen words.
+        # Taken from every word but the first OWN_ITEMS, given to unseen words.
         self.discount = once / (once + 2 * twice) if once and twice else 0.5
-        total = np.zeros(ITEMS)
-        own = vocabulary.counts[:OWN_ITEMS]
-        total[: len(own)] = own
-        total += rare_n
-        total[END] = ends
-        self.mass = one_hot.T @ total + UNSEEN
-        self.unseen = np.log10((self.discount * (one_hot.T @ rare_v) + UNSEEN) / self.mass)
-        less = np.where(np.arange(len(vocabulary.counts)) < OWN_ITEMS, 0, self.discount)
-        words = vocabulary.counts - less
-        self.words = np.log10(words / self.mass[self.member[vocabulary.items]])
-        self.end = math.log10(ends / self.mass[self.member[END]]) if ends else float(self.unseen[self.member[END]])
+        own, end = classes[: vocabulary.size], classes[vocabulary.end]
+        self.mass = np.bincount(own[:OWN_ITEMS], vocabulary.counts[:OWN_ITEMS], CLASSES) + rare_n + UNSEEN
+        self.mass[end] += ends
+        self.unseen = np.log10((self.discount * rare_v + UNSEEN) / self.mass)
+        less = np.where(np.arange(vocabulary.size) < OWN_ITEMS, 0, self.discount)
+        self.words = np.log10((vocabulary.counts - less) / self.mass[own])
+        self.end = math.log10(ends / self.mass[end]) if ends else float(self.unseen[end])
+
+
+def class_totals(counts: DataFrame, others: DataFrame, vocabulary: Vocabulary, classes: np.ndarray) -> tuple:
+    """As ``rare_totals``, by class: ``others`` has the words that are not in the
+    vocabulary, ``classes`` the class of each id."""
+    own = classes[OWN_ITEMS : vocabulary.size] if vocabulary.size > OWN_ITEMS else classes[:0]
+    n = np.bincount(own, vocabulary.counts[OWN_ITEMS:], CLASSES)
+    v = np.bincount(own, minlength=CLASSES).astype(float)
+    for row in others.groupBy("class").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect():
+        n[row["class"]] += row.n
+        v[row["class"]] += row.v
+    once, twice = counts.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
+    return n, v, once, twice
+
+
+_RARE = "ARRAY<STRUCT<word: BINARY, class: INT, n: BIGINT, spelling: DOUBLE>>"
 
 
 def score_texts(
     docs: DataFrame, vocabulary: Vocabulary, model: ClassModel, letters: np.ndarray, n: int, v: int, ends: int
 ) -> DataFrame:
-    """``doc_id``, ``held_out`` and the sums that need no other counts, plus
-    ``rare``, the words still to be looked up with class and number."""
+    """``doc_id``, ``held_out`` and the sums that need no other words, plus
+    ``rare``, the words still to be looked up with number and the class of their
+    ending, and ``left`` and ``right``, the classes of all steps from or to these
+    words; -1 stands for the first of ``rare``, -2 for the second."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rare_type = pa.list_(
-        pa.struct([("word", pa.binary()), ("class", pa.int32()), ("n", pa.int64()), ("spelling", pa.float64())])
-    )
     bottom = n + ADDED * (v + 1)
     base_words = np.log10((vocabulary.counts + ADDED) / bottom)
     base_end = math.log10((ends + ADDED) / bottom)
+    size, end = vocabulary.size, model.classes[[vocabulary.end]]
 
-    def one(data: bytes) -> tuple:
-        words = words_of(data)
-        places, items = vocabulary.items_of(words)
-        known = places[places >= 0]
-        classes = model.member[np.concatenate([[END], items, [END]])]
-        rest = Counter(words[i] for i in np.flatnonzero(places < 0).tolist())
-        return (
-            len(words) + 1,
-            len(known) + (ends > 0),
-            float(base_words[known].sum()) + base_end,
-            float(model.words[known].sum() + model.moves[classes[:-1], classes[1:]].sum()) + model.end,
-            [
-                {"word": w, "class": int(model.member[ending(w)]), "n": k, "spelling": p}
-                for (w, k), p in zip(rest.items(), spell(list(rest), letters), strict=True)
-            ],
-        )
+    def listed(sizes: list[int], values) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), values)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), rare_type)
         for batch in slices(batches, 256):
-            columns = zip(*(one(data) for data in as_bytes(batch.column(2))), strict=True)
+            sums: list[tuple] = []
+            steps: list[list[np.ndarray]] = [[], []]
+            rare_words, rare_ids, rare_n, sizes = [], [], [], []
+            for data in as_bytes(batch.column(2)):
+                words = words_of(data)
+                ids, others = vocabulary.ids_of(words)
+                number: dict[bytes, int] = {}
+                at = np.array([number.setdefault(words[i], len(number)) for i in others.tolist()], np.int64)
+                line = np.concatenate([end, model.classes[ids], end])
+                line[others + 1] = -1 - at
+                left, right = line[:-1], line[1:]
+                late = (left < 0) | (right < 0)
+                known = ids[ids < size]
+                sums.append((
+                    len(words) + 1,
+                    len(known) + (ends > 0),
+                    float(base_words[known].sum()) + base_end,
+                    float(model.words[known].sum() + model.moves[left[~late], right[~late]].sum()) + model.end,
+                ))
+                for some, side in zip(steps, (left, right), strict=True):
+                    some.append(side[late].astype(np.int32))
+                first = np.zeros(len(number), np.int64)
+                first[at[::-1]] = others[::-1]
+                rare_words += number
+                rare_ids.append(ids[first])
+                rare_n.append(np.bincount(at, minlength=len(number)))
+                sizes.append(len(number))
+            rare = pa.StructArray.from_arrays(
+                [
+                    pa.array(rare_words, pa.binary()),
+                    pa.array(model.classes[np.concatenate(rare_ids)], pa.int32()),
+                    pa.array(np.concatenate(rare_n), pa.int64()),
+                    pa.array(spell(rare_words, letters), pa.float64()),
+                ],
+                names=["word", "class", "n", "spelling"],
+            )
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1)] + [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                names=["doc_id", "held_out", "n_tokens", "n_known", "base", "model", "rare"],
+                [
+                    batch.column(0), batch.column(1),
+                    *[pa.array(c, k) for c, k in zip(zip(*sums, strict=True), kinds, strict=True)],
+                    listed(sizes, rare),
+                    *[listed([len(x) for x in some], pa.array(np.concatenate(some))) for some in steps],
+                ],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "base", "model", "rare", "left", "right"],
             )
 
     return docs.select("doc_id", "held_out", "text").mapInArrow(
         run,
         f"doc_id {kind}, held_out BOOLEAN, n_tokens BIGINT, n_known BIGINT, base DOUBLE, "
-        "model DOUBLE, rare ARRAY<STRUCT<word: BINARY, class: INT, n: BIGINT, spelling: DOUBLE>>",
+        f"model DOUBLE, rare {_RARE}, left ARRAY<INT>, right ARRAY<INT>",
     )
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
+def add_late_steps(scored: DataFrame, moves: np.ndarray) -> DataFrame:
+    """Adds to ``score`` the steps ``left``, ``right`` from and to words whose
+    classes ``found`` tells."""
+    names = [c for c in scored.columns if c not in ("left", "right", "found")]
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in scored.schema.fields if f.name in names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1024):
+            columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+            found = columns["found"]
+            sizes = found.value_lengths().fill_null(0).to_numpy()
+            offsets = np.cumsum(sizes) - sizes
+            told = found.flatten()
+            classes = np.empty(len(told), np.int64)
+            at = told.field("at").to_numpy() + np.repeat(offsets, sizes)
+            classes[at] = told.field("class").to_numpy()
+            row = np.repeat(np.arange(len(sizes)), columns["left"].value_lengths().to_numpy())
+            sides = []
+            for name in ("left", "right"):
+                side = columns[name].flatten().to_numpy().astype(np.int64)
+                late = np.flatnonzero(side < 0)
+                side[late] = classes[offsets[row[late]] - 1 - side[late]]
+                sides.append(side)
+            late = np.bincount(row, moves[sides[0], sides[1]], len(sizes))
+            columns["score"] = pa.array(columns["score"].to_numpy() + late)
+            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
+
+    return scored.mapInArrow(run, kinds)
+
+
+def score_documents(docs: DataFrame, passes: int = PASSES) -> DataFrame:
     """Base and model score of every row of ``docs`` (doc_id, text, held_out),
     learned from the rows not held out.
 
     NULL and empty texts have one token, the end. Words beyond the broadcast
-    vocabulary are joined with the table of all counts; the frequent ones never
-    enter that shuffle, so it has no hot key.
+    vocabulary are joined with the table of all counts and classes; the frequent
+    ones never enter that shuffle, so it has no hot key.
     """
     training = docs.filter(~F.col("held_out"))
     counts = stored(count_words(training), "word-counts")
     occurrences, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("word")).first()
     ends = training.count()
     n, v = occurrences + ends, distinct + (ends > 0)
-    rows = most_frequent(counts, distinct)
-    vocabulary = Vocabulary(rows)
-    own = [row.word for row in rows[:OWN_ITEMS]]
-    pairs = count_pairs(training, vocabulary)
-    others = counts.join(
-        F.broadcast(docs.sparkSession.createDataFrame([(w,) for w in own], "word BINARY")), "word", "left_anti"
+    vocabulary = Vocabulary(most_frequent(counts, distinct))
+    classes, moves, own = word_classes(training, vocabulary, passes)
+    # The vocabulary holds every word of at least its least count.
+    beyond = counts.filter(F.col("c") < int(vocabulary.counts.min())) if vocabulary.size else counts
+    others = stored(
+        beyond.withColumn("key", F.xxhash64("word")).join(own, "key").select("word", "c", "class"), "word-classes"
     )
-    model = ClassModel(vocabulary, pairs, rare_totals(others), ends)
+    model = ClassModel(vocabulary, moves, class_totals(counts, others, vocabulary, classes), ends, classes)
     scored = stored(
         score_texts(docs, vocabulary, model, spelling(counts), n, v, ends).withColumn("row", F.monotonically_increasing_id()),
         "word-scores",
@@ -340,9 +730,12 @@ def score_documents(docs: DataFrame) -> DataFrame:
     mass = F.array(*[F.lit(float(x)) for x in model.mass])
     unseen = F.array(*[F.lit(float(x)) for x in model.unseen])
     seen = F.col("c").isNotNull()
-    rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.class", "r.n", "r.spelling")
+    rare = scored.select("row", F.posexplode("rare").alias("at", "r")).select(
+        "row", "at", "r.word", F.col("r.class").alias("by_ending"), "r.n", "r.spelling"
+    )
+    kind = F.coalesce("class", "by_ending")
     looked_up = (
-        rare.join(counts, "word", "left")
+        rare.join(others, "word", "left")
         .groupBy("row")
         .agg(
             F.sum(F.when(seen, F.col("n")).otherwise(0)).alias("more_known"),
@@ -351,14 +744,15 @@ def score_documents(docs: DataFrame) -> DataFrame:
             ).alias("more_base"),
             F.sum(
                 F.col("n")
-                * F.when(seen, F.log10((F.col("c") - model.discount) / mass[F.col("class")])).otherwise(
-                    unseen[F.col("class")] + F.col("spelling")
+                * F.when(seen, F.log10((F.col("c") - model.discount) / mass[kind])).otherwise(
+                    unseen[kind] + F.col("spelling")
                 )
             ).alias("more_model"),
+            F.collect_list(F.struct("at", kind.alias("class"))).alias("found"),
         )
     )
     zero = F.lit(0)
-    return scored.drop("rare").join(looked_up, "row", "left").select(
+    known = scored.drop("rare").join(looked_up, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
@@ -366,7 +760,13 @@ def score_documents(docs: DataFrame) -> DataFrame:
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more_base", zero)).alias("base_score"),
         (F.col("model") + F.coalesce("more_model", zero)).alias("score"),
-    ).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
+        "left",
+        "right",
+        "found",
+    )
+    return add_late_steps(known, model.moves).withColumn(
+        "perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))
+    )
 
 
 def op2_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -188,6 +188,93 @@ def test_exchange_ends_where_no_move_helps():
             assert likelihood(moved) <= best + 1e-6
 
 
+def test_a_word_takes_the_class_that_raises_the_likelihood_most():
+    rnd = np.random.default_rng(7)
+    pairs = (rnd.integers(0, 9, (30, 30)) * (rnd.random((30, 30)) < 0.4)).astype(float)
+    member = rnd.integers(0, 4, 30)
+
+    def moves(member):
+        found = np.zeros((4, 4))
+        np.add.at(found, (member[:, None], member[None, :]), pairs)
+        return found
+
+    one_hot = np.eye(4)[member]
+    twice = pairs.diagonal()
+    alone = pairs - np.diag(twice)
+    after, before = alone @ one_hot, alone.T @ one_hot
+    best = brown.best_classes(moves(member), after, before, twice, member)
+    assert (best != member).any()
+    for word in range(30):
+        tried = [brown.likelihood(moves(np.where(np.arange(30) == word, k, member))) for k in range(4)]
+        assert tried[best[word]] == pytest.approx(max(tried))
+        table_ = moves(member)
+        one = [x[word : word + 1] for x in (after, before, twice, member, best)]
+        brown._move(table_, *one)
+        assert (table_ == moves(np.where(np.arange(30) == word, best, member))).all()
+
+
+def _two_kinds(spark):
+    """Words of two kinds in turn, all of one ending; 300 of 1,400 are rarer."""
+    rnd = random.Random(12)
+    kinds = [[f"{k}{i}ing" for i in range(700)] for k in "ab"]
+    weights = [20] * 550 + [5] * 150
+    drawn = [rnd.choices(words, weights, k=16000) for words in kinds]
+    line = [w for pair in zip(*drawn, strict=True) for w in pair]
+    rows = [(i, " ".join(line[i * 40 : i * 40 + 40]), False) for i in range(800)]
+    a, b = (words[560:680] for words in kinds)
+    rows += [(1000, " ".join(w for pair in zip(a, b, strict=True) for w in pair), True), (1001, " ".join(a + b), True)]
+    rows += [(1002, f"{a[0]} {a[0]} neverseen {b[0]}  {b[1]} the", True), (1003, "", True), (1004, None, True)]
+    return rows, spark.createDataFrame(rows, "doc_id LONG, text STRING, held_out BOOLEAN")
+
+
+def test_every_word_has_a_class_of_its_own(spark, monkeypatch):
+    monkeypatch.setattr(brown, "LOOKED_UP", 1200)
+    rows, docs = _two_kinds(spark)
+    found = {r.doc_id: r for r in brown.score_documents(docs).collect()}
+    assert found[1000].n_tokens == found[1001].n_tokens == 241
+    assert found[1000].score > found[1001].score + 40
+
+    # The same from the model's parts, word by word.
+    training = docs.filter("NOT held_out")
+    counts = brown.count_words(training)
+    vocabulary = brown.Vocabulary(brown.most_frequent(counts, counts.count()))
+    assert brown.OWN_ITEMS < vocabulary.size < 1200
+    classes, moves, own = brown.word_classes(training, vocabulary)
+    own = {r["key"]: r["class"] for r in own.collect()}
+    c = {bytes(r.word): r.c for r in counts.collect()}
+    hashed = lambda w: (xxhash.xxh64_intdigest(w, 42) + 2**63) % 2**64 - 2**63
+    member = {w: classes[vocabulary.place[w]] if w in vocabulary.place else own[hashed(w)] for w in c}
+    assert len(own) == len(c) - vocabulary.size > 200
+    kinds = [{member[w] for w in c if w[:1] == k and w not in vocabulary.place} for k in (b"a", b"b")]
+    assert not kinds[0] & kinds[1]
+    end = classes[vocabulary.end]
+    table_ = np.zeros_like(moves)
+    for _, text, held_out in rows:
+        if not held_out:
+            line = [end, *[member[w] for w in text.encode().split()], end]
+            np.add.at(table_, (line[:-1], line[1:]), 1)
+    assert (table_ == moves).all()
+
+    rare = [w for w in c if w not in vocabulary.place]
+    others = spark.createDataFrame([(w, c[w], int(member[w])) for w in rare], "word BINARY, c BIGINT, class INT")
+    totals = brown.class_totals(counts, others, vocabulary, classes)
+    model = brown.ClassModel(vocabulary, moves, totals, 800, classes)
+    letters = brown.spelling(counts)
+    words = np.concatenate([model.words, np.log10([(c[w] - model.discount) / model.mass[member[w]] for w in rare])])
+    of_words = [classes[: vocabulary.size], [member[w] for w in rare]]
+    for k in range(brown.CLASSES):
+        seen = (10 ** words[np.concatenate(of_words) == k]).sum() + (10**model.end if end == k else 0)
+        assert seen + 10 ** model.unseen[k] == pytest.approx(1)
+    probability = dict(zip([*vocabulary.place, *rare], words, strict=True))
+    for key, text, _ in rows[::50] + rows[800:]:
+        score, at = model.end, end
+        for w in (text or "").encode().split():
+            k = member.get(w, classes[vocabulary.size + brown.ending(w) - brown.OWN_ITEMS])
+            score += model.moves[at, k] + (probability[w] if w in c else model.unseen[k] + brown.spell([w], letters)[0])
+            at = k
+        assert found[key].score == pytest.approx(score + model.moves[at, end])
+
+
 def test_token_files(spark, sf_dir, rows):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
