@@ -23,7 +23,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedworks.llm.shared import as_bytes, remainder, slices, stored, table, value_at_rank, whole_text
+from feedworks.llm.shared import (
+    as_bytes,
+    remainder,
+    slices,
+    stored,
+    table,
+    value_at_rank,
+    whole_text,
+)
+from feedworks.sources.storage import delete, scratch_path
 
 OWN_ITEMS = 1024
 ENDINGS = 256
@@ -514,8 +523,11 @@ def word_classes(training: DataFrame, vocabulary: Vocabulary, passes: int = PASS
     at once in the next pass. The pass over the other words is undone if it does
     not raise the likelihood; their classes are then those of their endings.
     """
-    side_by_side = stored(neighbours(training, vocabulary), "word-neighbours")
-    found = stored(contexts(side_by_side, vocabulary), "word-contexts")
+    spark = training.sparkSession
+    # Far larger than the other steps, so they go as soon as they are read.
+    large = [scratch_path(spark, label) for label in ("word-neighbours", "word-contexts")]
+    side_by_side = stored(neighbours(training, vocabulary), "word-neighbours", large[0])
+    found = stored(contexts(side_by_side, vocabulary), "word-contexts", large[1])
     pairs = class_table(found, vocabulary.item_of_id, ITEMS)
     member = exchange(pairs)
     one_hot = np.eye(CLASSES)[member]
@@ -543,6 +555,8 @@ def word_classes(training: DataFrame, vocabulary: Vocabulary, passes: int = PASS
     apart = member.copy()
     apart[vocabulary.size : vocabulary.end] = CLASSES
     after = class_table(found, apart, CLASSES).ravel()
+    for path in large:
+        delete(spark, path)
     for row in cells.unionByName(adjacent).groupBy("at").agg(F.sum("n").alias("n")).collect():
         after[row["at"]] += row.n
     after = after.reshape(CLASSES, CLASSES)
