@@ -47,6 +47,8 @@ LOOKED_UP = 1 << 17
 COUNTED_AT_ONCE = 1 << 19
 SCANNED_AT_ONCE = 1 << 21
 GROUPED_AT_ONCE = 1 << 15
+PART_WORDS = 1 << 18
+SORTED_AT_ONCE = 10000
 MOVED_AT_ONCE = 64
 ADDED = 0.1
 PRIOR = 5.0
@@ -111,6 +113,8 @@ class Vocabulary:
         self.size = len(rows)
         self.end = self.size + ENDINGS
         self.item_of_id = np.concatenate([self.items, np.arange(OWN_ITEMS, ITEMS)])
+        # Parts that the work on all neighbours is dealt to; they grow with the texts.
+        self.parts = 1 + int(self.counts.sum()) // PART_WORDS
 
     def ids_of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Id of each word, and which words are not among them."""
@@ -121,49 +125,82 @@ class Vocabulary:
         return ids, others
 
 
+def _listed(starts: np.ndarray, lists: dict[str, pa.Array], first: pa.Array, name: str) -> pa.RecordBatch:
+    """One row for each of ``starts``: ``first`` as ``name``, then what each of
+    ``lists`` holds from there to the next of them."""
+    size = max(map(len, lists.values()))
+    offsets = pa.array(np.append(starts, size), pa.int32())
+    columns = [
+        pa.ListArray.from_arrays(offsets, values) if len(values) else pa.nulls(len(starts), pa.list_(values.type))
+        for values in lists.values()
+    ]
+    return pa.RecordBatch.from_arrays([first, *columns], names=[name, *lists])
+
+
+_PARTS = (
+    "part INT, n ARRAY<BIGINT>, key ARRAY<BIGINT>, own ARRAY<INT>, left ARRAY<INT>, right ARRAY<INT>, next ARRAY<BIGINT>"
+)
+
+
 def neighbours(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """What stands side by side, the end before and after every text, in two kinds
-    of rows: ``n`` times the ids of ``pair``, added up in part; and each occurrence
-    of a word that is not in the vocabulary, with its hash as ``key``, its id
-    ``own``, the ids ``left`` and ``right``, and in ``next`` the hash of the word
-    after it, if that is not in the vocabulary either."""
-    size, end = vocabulary.size, vocabulary.end
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
-    names = ["pair", "n", "key", "own", "left", "right", "next"]
-
-    def answer(parts: list[np.ndarray], hashes: list[int]) -> Iterator[pa.RecordBatch]:
-        line = np.concatenate(parts)
-        pairs, n = np.unique(line[:-1] * (end + 1) + line[1:], return_counts=True)
-        columns = [pa.array(pairs), pa.array(n)] + [pa.nulls(len(n), k) for k in kinds[2:]]
-        yield pa.RecordBatch.from_arrays(columns, names=names)
+    """What stands side by side, the end before and after every text, in lists
+    dealt to parts of about PART_WORDS words. Of two kinds: ``n`` times the ids
+    ``left`` and ``right``, added up in part, which lie in the part of the less
+    frequent id, so a frequent one does not make a large part; and occurrences of
+    words that are not in the vocabulary, with their hash as ``key``, in the part of
+    its range, their id ``own``, the ids ``left`` and ``right``, and in ``next`` the
+    hash of the word after it, if that is not in the vocabulary either."""
+    size, end, parts = vocabulary.size, vocabulary.end, vocabulary.parts
+    names = ("n", "key", "own", "left", "right", "next")
+    nothing = {c: pa.array([], pa.int64() if c in ("n", "key", "next") else pa.int32()) for c in names}
+
+    def pairs(line: np.ndarray) -> pa.RecordBatch:
+        left, right = line[:-1], line[1:]
+        # Ids follow their frequency; endings and the end come before all of them.
+        rank = np.where(line < size, line, line - end - 1)
+        part = np.maximum(rank[:-1], rank[1:]) % parts
+        found, n = np.unique((part * (end + 1) + left) * (end + 1) + right, return_counts=True)
+        found, right = np.divmod(found, end + 1)
+        part, left = np.divmod(found, end + 1)
+        starts = np.flatnonzero(np.diff(part, prepend=-1))
+        lists = {"n": pa.array(n), "left": pa.array(left, pa.int32()), "right": pa.array(right, pa.int32())}
+        return _listed(starts, nothing | lists, pa.array(part[starts], pa.int32()), "part")
+
+    def occurrences(line: np.ndarray, at: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+        part = ((keys >> 32) + (1 << 31)) * parts >> 32
+        order = np.argsort(part, kind="stable")
+        part, at = part[order], at[order]
+        starts = np.flatnonzero(np.diff(part, prepend=-1))
+        other = (line[at + 1] >= size) & (line[at + 1] < end)
+        follows = pa.array(np.roll(keys, -1)[order], mask=~other)
+        lists = {"key": pa.array(keys[order]), "next": follows}
+        lists |= {name: pa.array(line[at + d], pa.int32()) for name, d in (("own", 0), ("left", -1), ("right", 1))}
+        return _listed(starts, nothing | lists, pa.array(part[starts], pa.int32()), "part")
+
+    def answer(texts_: list[np.ndarray], hashes: list[int]) -> Iterator[pa.RecordBatch]:
+        line = np.concatenate(texts_)
+        yield pairs(line)
         at = np.flatnonzero((line >= size) & (line < end))
         if len(at):
-            keys = np.array(hashes, np.uint64).view(np.int64)
-            adjacent = np.append(np.diff(at) == 1, False)
-            columns = [pa.nulls(len(at), k) for k in kinds[:2]] + [pa.array(keys)]
-            columns += [pa.array(line[at + d], pa.int32()) for d in (0, -1, 1)]
-            columns.append(pa.array(np.roll(keys, -1), mask=~adjacent))
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            yield occurrences(line, at, np.array(hashes, np.uint64).view(np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         limit = np.array([end])
-        parts, hashes, held = [limit], [], 0
+        held_texts, hashes, held = [limit], [], 0
         for batch in slices(batches, 64):
             for data in as_bytes(batch.column(0)):
                 words = words_of(data)
                 ids, others = vocabulary.ids_of(words)
-                parts += [ids, limit]
+                held_texts += [ids, limit]
                 hashes += [xxhash.xxh64_intdigest(words[i], 42) for i in others.tolist()]
                 held += len(words) + 1
             if held >= SCANNED_AT_ONCE:
-                yield from answer(parts, hashes)
-                parts, hashes, held = [limit], [], 0
+                yield from answer(held_texts, hashes)
+                held_texts, hashes, held = [limit], [], 0
         if held:
-            yield from answer(parts, hashes)
+            yield from answer(held_texts, hashes)
 
-    return texts.select("text").mapInArrow(
-        run, "pair BIGINT, n BIGINT, key BIGINT, own INT, left INT, right INT, next BIGINT"
-    )
+    return texts.select("text").mapInArrow(run, _PARTS)
 
 
 def _added_up(df: DataFrame, run, size: int) -> np.ndarray:
@@ -383,27 +420,44 @@ def _whole_keys(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held)
 
 
+def _column(rows: pa.Table, name: str) -> np.ndarray:
+    """The numbers in all lists of a column."""
+    return rows[name].combine_chunks().flatten().to_numpy()
+
+
 def contexts(side_by_side: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """One row for each id: the ids ``near`` it and how often, ``n``, below zero
     for those before it. A row holds no more than two numbers for each id."""
-    ids = F.lit(vocabulary.end + 1)
-    pairs = side_by_side.filter("pair IS NOT NULL").groupBy("pair").agg(F.sum("n").alias("n"))
-    u, v = F.floor(F.col("pair") / ids).cast("int"), F.pmod("pair", ids).cast("int")
-    sides = [
-        F.struct(u.alias("key"), v.alias("near"), F.col("n")),
-        F.struct(v.alias("key"), u.alias("near"), (-F.col("n")).alias("n")),
-    ]
+    ids = vocabulary.end + 1
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_keys(batches, 1):
+            pair = _column(rows, "left").astype(np.int64) * ids + _column(rows, "right")
+            order = np.argsort(pair)
+            pair = pair[order]
+            first = np.flatnonzero(np.diff(pair, prepend=-1))
+            n = np.add.reduceat(_column(rows, "n")[order], first)
+            u, v = np.divmod(pair[first], ids)
+            key, near, n = np.concatenate([u, v]), np.concatenate([v, u]), np.concatenate([n, -n])
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            starts = np.flatnonzero(np.diff(key, prepend=-1))
+            lists = {"near": pa.array(near[order], pa.int32()), "n": pa.array(n[order])}
+            yield _listed(starts, lists, pa.array(key[starts], pa.int32()), "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Every pair lies in one part, so a key's lists have nothing in common.
         for rows in _whole_keys(batches, GROUPED_AT_ONCE):
-            keys, near, n = (rows.column(i).to_numpy() for i in range(3))
+            keys, near = rows["key"].to_numpy(), rows["near"].combine_chunks()
             starts = np.flatnonzero(np.diff(keys, prepend=-1))
-            offsets = pa.array(np.append(starts, len(keys)), pa.int32())
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (near, n)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys[starts]), *lists], names=["key", "near", "n"])
+            at = near.offsets.to_numpy()[starts] - near.offsets[0].as_py()
+            lists = {"near": near.flatten(), "n": rows["n"].combine_chunks().flatten()}
+            yield _listed(at, lists, pa.array(keys[starts]), "key")
 
     return (
-        pairs.select(F.explode(F.array(*sides)).alias("r")).select("r.*")
+        side_by_side.filter("n IS NOT NULL").select("part", "left", "right", "n")
+        .repartition("part").sortWithinPartitions("part")
+        .mapInArrow(added, "key INT, near ARRAY<INT>, n ARRAY<BIGINT>")
         .repartition("key").sortWithinPartitions("key")
         .mapInArrow(run, "key INT, near ARRAY<INT>, n ARRAY<BIGINT>")
     )
@@ -467,10 +521,18 @@ def exchange_others(side_by_side: DataFrame, vocabulary: Vocabulary, member: np.
     classes, size, end = len(table_), vocabulary.size, vocabulary.end
     names = ["key", "start", "class", "next"]
 
+    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """In the order of their keys, as the parts are."""
+        for rows in _whole_keys(batches, 1):
+            lists = [rows[name].combine_chunks().flatten() for name in ("key", "own", "left", "right", "next")]
+            order = pa.array(np.argsort(lists[0].to_numpy(), kind="stable"))
+            found = pa.Table.from_arrays([x.take(order) for x in lists], names=["key", "own", "left", "right", "next"])
+            yield from found.to_batches(SORTED_AT_ONCE)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_table = table_.copy()
         cells = np.zeros(classes * classes, np.int64)
-        for rows in _whole_keys(batches, GROUPED_AT_ONCE):
+        for rows in _whole_keys(occurrences(batches), GROUPED_AT_ONCE):
             keys, ids, left, right = (rows.column(i).to_numpy() for i in range(4))
             follows = rows.column(4).combine_chunks()
             other = follows.is_valid().to_numpy(zero_copy_only=False)
@@ -508,8 +570,8 @@ def exchange_others(side_by_side: DataFrame, vocabulary: Vocabulary, member: np.
         )
 
     return (
-        side_by_side.filter("key IS NOT NULL").select("key", "own", "left", "right", "next")
-        .repartition("key").sortWithinPartitions("key")
+        side_by_side.filter("key IS NOT NULL").select("part", "key", "own", "left", "right", "next")
+        .repartition("part").sortWithinPartitions("part")
         .mapInArrow(run, "key BIGINT, start INT, class INT, next ARRAY<BIGINT>")
     )
 
@@ -547,17 +609,22 @@ def word_classes(training: DataFrame, vocabulary: Vocabulary, passes: int = PASS
             parts *= FEWER_AT_ONCE
     others = stored(exchange_others(side_by_side, vocabulary, member, table_), "word-moves")
     own = others.filter("key IS NOT NULL").select("key", "class")
-    cells = others.filter("key IS NULL").select(F.posexplode("next").alias("at", "n"))
+
+    def by_cell(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        n = batch.column(0).flatten().to_numpy()
+        return np.arange(len(n)) % CLASSES**2, n
+
+    cells = _added_up(others.filter("key IS NULL").select("next"), by_cell, CLASSES**2)
     adjacent = (
         others.filter("key IS NOT NULL").select(F.col("class").alias("u"), F.explode("next").alias("key"))
         .join(own, "key").select((F.col("u") * CLASSES + F.col("class")).alias("at"), F.lit(1).cast("long").alias("n"))
     )
     apart = member.copy()
     apart[vocabulary.size : vocabulary.end] = CLASSES
-    after = class_table(found, apart, CLASSES).ravel()
+    after = class_table(found, apart, CLASSES).ravel() + cells
     for path in large:
         delete(spark, path)
-    for row in cells.unionByName(adjacent).groupBy("at").agg(F.sum("n").alias("n")).collect():
+    for row in adjacent.groupBy("at").agg(F.sum("n").alias("n")).collect():
         after[row["at"]] += row.n
     after = after.reshape(CLASSES, CLASSES)
     if likelihood(after) > likelihood(table_):

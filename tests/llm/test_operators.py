@@ -275,6 +275,73 @@ def test_every_word_has_a_class_of_its_own(spark, monkeypatch):
         assert found[key].score == pytest.approx(score + model.moves[at, end])
 
 
+def test_neighbours_lie_in_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(brown, "LOOKED_UP", 1200)
+    monkeypatch.setattr(brown, "PART_WORDS", 1 << 11)
+    monkeypatch.setattr(brown, "SCANNED_AT_ONCE", 1 << 13)
+    rows, docs = _two_kinds(spark)
+    training = docs.filter("NOT held_out").repartition(3)
+    counts = brown.count_words(training)
+    vocabulary = brown.Vocabulary(brown.most_frequent(counts, counts.count()))
+    size, end, parts = vocabulary.size, vocabulary.end, vocabulary.parts
+    assert parts > 10
+    pairs, occurrences = Counter(), Counter()
+    tokens = 0
+    for _, text, held_out in rows:
+        if not held_out:
+            words = text.encode().split()
+            ids = [end, *vocabulary.ids_of(words)[0].tolist(), end]
+            keys = [None, *((xxhash.xxh64_intdigest(w, 42) + 2**63) % 2**64 - 2**63 for w in words), None]
+            other = [size <= i < end for i in ids]
+            tokens += len(words) + 1
+            pairs.update(zip(ids, ids[1:], strict=False))
+            occurrences.update(
+                (keys[i], ids[i], ids[i - 1], ids[i + 1], keys[i + 1] if other[i + 1] else None)
+                for i in range(len(ids)) if other[i]
+            )
+
+    found = brown.stored(brown.neighbours(training, vocabulary), "test-neighbours")
+    listed = found.collect()
+    assert len(listed) <= 2 * parts * (3 + tokens // brown.SCANNED_AT_ONCE)
+    got, places = Counter(), {}
+    for r in listed:
+        assert 0 <= r.part < parts
+        if r.n is None:
+            got.update(zip(r.key, r.own, r.left, r.right, r.next, strict=True))
+            for key in r.key:
+                assert places.setdefault(key, r.part) == r.part
+        else:
+            for pair in zip(r.left, r.right, strict=True):
+                assert places.setdefault(pair, r.part) == r.part
+    assert got == occurrences
+
+    near = {r.key: sorted(zip(r.near, r.n, strict=True)) for r in brown.contexts(found, vocabulary).collect()}
+    plain: dict = {}
+    for (u, v), n in pairs.items():
+        plain.setdefault(u, []).append((v, n))
+        plain.setdefault(v, []).append((u, -n))
+    assert near == {key: sorted(lists) for key, lists in plain.items()}
+
+    # Counts of all classes come from every task; they are not made rows one by one.
+    def none(*_):
+        raise AssertionError("a row for each pair of classes")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(brown.F, "posexplode", none)
+        classes, moves, own = brown.word_classes(training, vocabulary)
+    own = {r["key"]: r["class"] for r in own.collect()}
+    assert len(own) == len({o[0] for o in occurrences})
+    table_ = np.zeros_like(moves)
+    for _, text, held_out in rows:
+        if not held_out:
+            words = text.encode().split()
+            hashed = [(xxhash.xxh64_intdigest(w, 42) + 2**63) % 2**64 - 2**63 for w in words]
+            line = [classes[vocabulary.place[w]] if w in vocabulary.place else own[h] for w, h in zip(words, hashed, strict=True)]
+            line = [classes[end], *line, classes[end]]
+            np.add.at(table_, (line[:-1], line[1:]), 1)
+    assert (table_ == moves).all()
+
+
 def test_token_files(spark, sf_dir, rows):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
