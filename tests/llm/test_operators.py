@@ -658,6 +658,42 @@ def test_similar_texts_leave_one(spark, monkeypatch):
     assert len(set(root)) < len(texts) - 60
 
 
+def test_texts_that_share_nothing_do_not_meet(spark, monkeypatch):
+    from feedworks.llm import shingles
+
+    rnd = random.Random(3)
+    vocabulary = ["".join(rnd.choices("abcdefghij", k=5)) for _ in range(3000)]
+    words = [rnd.choices(vocabulary, k=rnd.randint(20, 90)) for _ in range(300)]
+    line = " ".join(rnd.choices(vocabulary, k=12))
+    texts = [" ".join(w) + (f" {line}" if i % 2 else "") for i, w in enumerate(words)]
+    # Thirty that differ in their last word meet in a common shingle.
+    texts += [" ".join(words[0] + [line, str(i)]) for i in range(30)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id LONG, text STRING")
+    whole, compared = shingles.candidate_links, []
+    monkeypatch.setattr(shingles, "candidate_links", lambda sets: compared.append(sets.count()) or whole(sets))
+    monkeypatch.setattr(shingles, "MOST_SHARING", 20, raising=False)
+    groups = shingles.similar_groups(docs).groupBy("root").count().collect()
+    # The texts that the thirty were made of may hang together with them.
+    assert sum(compared) < 60
+    assert sorted(r["count"] for r in groups) in ([1] * 299 + [31], [1] * 300 + [30])
+
+
+def test_similar_sets_share_a_first_shingle():
+    from feedworks.llm import shingles
+
+    rnd = np.random.default_rng(9)
+    for size in [*range(1, 40), 200, 901]:
+        counts = rnd.integers(0, 3, shingles.COUNTS)
+        both = math.ceil(0.8 * size)
+        for own in (0, (size - both) // 2, size - both):
+            drawn = rnd.integers(0, 1 << 64, both + 2 * (size - both), dtype=np.uint64)
+            a, b = np.unique(drawn[:both + own]), np.unique(np.concatenate([drawn[:both], drawn[both + own :][: size - both - own]]))
+            if shingles.similar(a, b):
+                assert np.intersect1d(shingles.first_shingles(a, counts), shingles.first_shingles(b, counts)).size
+    assert len(shingles.first_shingles(drawn[:100], counts)) <= 22
+    assert not len(shingles.first_shingles(drawn[:0], counts))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 200), (200, 100), (7, 7), (5, -4)]
     got = {(r.node, r.root) for r in connected_components(spark.createDataFrame(edges, "u BIGINT, v BIGINT")).collect()}
