@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from feedworks.catalogue import derived
+from feedworks.catalogue import derived, feed_files
 from feedworks.catalogue.queries import _in_two_runs, all_queries
 from feedworks.operators.enrich import enrich_with_dimension
 from feedworks.operators.latest import latest_per_key, newest_first
@@ -239,3 +239,27 @@ def test_days_are_written_as_the_formatter_does(spark):
     days = days.unionByName(spark.sql("SELECT date_add(DATE'9999-12-31', 1) AS d"))
     rows = days.select(derived._day(F.col("d")), F.date_format("d", "yyyyMMdd")).collect()
     assert len(rows) == 6 and all(day == formatted for day, formatted in rows)
+
+
+def shuffle_files(spark):
+    disks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {
+        name
+        for folder in disks.localDirsString()
+        for name in glob.glob(f"{folder}/*/shuffle_*")
+    }
+
+
+def test_delivered_files_are_whole_and_leave_no_shuffle(spark, settings, monkeypatch, root):
+    settings(autoBroadcastJoinThreshold="-1")
+    monkeypatch.setattr(feed_files, "FEED_KEYS", 50)
+    files = feed_files.feed_files(spark, SF_DIR)
+    want = {(str(r.second).lower(), r.file_name, r.value) for r in files.collect()}
+    assert len(want) > 20
+    before = shuffle_files(spark)
+    feed_files.deliver(files, f"{root}/sent", whole=True)
+    assert shuffle_files(spark) <= before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    held = spark.read.text(f"{root}/sent", wholetext=True)
+    got = [(r.second, r.file_name, r.value.removesuffix("\n")) for r in held.collect()]
+    assert len(got) == len(want) and set(got) == want
