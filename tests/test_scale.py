@@ -14,10 +14,12 @@ from feedworks.operators.quality import duplicate_keys
 from feedworks.operators.rules import is_rejected
 from feedworks.operators.upsert import changed_rows, upsert
 from feedworks.plans import members, redemptions
+from feedworks.plans.ingest import apply_redemption_feeds
+from feedworks.plans.layout import Layout
 from feedworks.sinks.exports import Segment, fan_out
 from feedworks.sinks.targets import Target, gathered, write_partitioned
 from feedworks.sources.files import not_processed
-from feedworks.sources.storage import scratch_path
+from feedworks.sources.storage import exists, scratch_path
 
 SF_DIR = "/root/testdata/sf0.001"
 WRITING = {
@@ -263,3 +265,29 @@ def test_delivered_files_are_whole_and_leave_no_shuffle(spark, settings, monkeyp
     held = spark.read.text(f"{root}/sent", wholetext=True)
     got = [(r.second, r.file_name, r.value.removesuffix("\n")) for r in held.collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_a_merge_begins_without_what_its_batch_came_from(spark, settings, monkeypatch, root):
+    settings(autoBroadcastJoinThreshold="-1")
+    layout = Layout(f"{root}/out")
+    feeds = derived.redemption_feeds(spark, SF_DIR)
+    apply_redemption_feeds(feeds, layout, derived.AS_OF, derived.SECOND_RUN, "first")
+    held = f"{layout.redemption_held}/second"
+    batch = layout.redemption_target._batch_path
+    merge, replace, seen = Target._merge, Target._replace, []
+
+    def merging(self, *given):
+        seen.append(exists(spark, held))
+        return merge(self, *given)
+
+    def replacing(self, *given):
+        seen.append(exists(spark, batch))
+        return replace(self, *given)
+
+    monkeypatch.setattr(Target, "_merge", merging)
+    monkeypatch.setattr(Target, "_replace", replacing)
+    before = shuffle_files(spark)
+    later = feeds.withColumn("ingestion_time", F.lit(derived.SECOND_RUN))
+    apply_redemption_feeds(later, layout, derived.AS_OF, derived.SECOND_RUN, "second")
+    assert seen == [False, False]
+    assert shuffle_files(spark) <= before
